@@ -164,15 +164,24 @@ class Model:
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w, x = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], 1)
+    scale = max(float(np.abs(z).max()), 1e-9)
+    w, x = np.array([1.0, 0.0]), np.stack([z / scale, np.ones_like(z)], 1)
+
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float((np.logaddexp(0, t) - target * t).sum() + 5e-4 * (w @ w))
+
     for _ in range(50):
         p = _sigmoid(x @ w)
         g = x.T @ (p - target) + 1e-3 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, g)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), g)
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
+    w[0] /= scale
     return float(max(w[0], 1e-6)), float(w[1])
 
 

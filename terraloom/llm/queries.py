@@ -11,6 +11,8 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import score_quality
+from .secrets import scan_secrets
+from .toxicity import score_toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_docs(spark, sf_dir))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.drop("hit_starts", "hit_ends")
@@ -42,7 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
