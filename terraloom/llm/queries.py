@@ -13,6 +13,7 @@ from .mixing import mix
 from .ngram_join import ngram_components
 from .quality import score_quality
 from .secrets import scan_secrets
+from .suffix_tree import substring_dedup
 from .toxicity import score_toxicity
 
 
@@ -28,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
@@ -92,5 +98,16 @@ link AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WH
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id)
+""",
+    "op3_substring_dedup": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM dw, unnest(range(1, len(w) - 11)) AS r(i)),
+first AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN first USING (g), unnest(range(i, i + 13)) AS r(p) WHERE doc_id > d),
+kept AS (SELECT doc_id, string_agg(w[p], ' ' ORDER BY p) AS body FROM dw, unnest(range(1, len(w) + 1)) AS r(p)
+         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = dw.doc_id AND g.p = r.p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
