@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ngram_join import ngram_components
 from .quality import score_quality
+from .run_index import suffix_array_dedup
 from .secrets import scan_secrets
 from .suffix_tree import substring_dedup
 from .toxicity import score_toxicity
@@ -37,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(_docs(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
