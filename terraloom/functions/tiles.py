@@ -11,7 +11,7 @@ RADIUS = 6378137.0
 
 
 def power2(level: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), level.cast("int"))
+    return F.pow(F.lit(2.0), level).cast("long")
 
 
 def geographic_bounds(level: Column, x: Column, y: Column) -> Column:
