@@ -46,7 +46,7 @@ def normalised_format(text: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Items of a comma list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def cell_type(text: Column, quoted: Column) -> Column:
