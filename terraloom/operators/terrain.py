@@ -44,7 +44,7 @@ def tile_candidates(spark, level: int, bounds: tuple[float, float, float, float]
     clamp = lambda v, m: max(0, min(int(v // 1), m - 1))
     x0, x1, y0, y1 = clamp((w + 180) / size, nx), clamp((e + 180) / size, nx), clamp((90 - n) / size, ny), clamp((90 - s) / size, ny)
     xs = spark.range(x0, x1 + 1).select(F.col("id").alias("x"))
-    out = xs.select(F.lit(level).alias("level"), "x", F.explode(F.sequence(F.lit(y0), F.lit(y1))).cast("long").alias("y"))
+    out = xs.select(F.lit(level).alias("level"), "x", F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long"))).alias("y"))
     b = geographic_bounds(F.col("level"), F.col("x"), F.col("y"))
     meets = (b["west"] < e) & (b["east"] > w) & (b["south"] < n) & (b["north"] > s)
     return out.where(meets)
@@ -57,7 +57,7 @@ def mercator_candidates(spark, level: int, west: float, east: float, row0: float
     n = 2**level
     x0, x1 = max(0, floor((west + 180) / 360 * n)), min(n - 1, ceil((east + 180) / 360 * n))
     y0, y1 = max(0, floor(row0)), min(n - 1, ceil(row1))
-    return spark.range(x0, x1 + 1).select(F.lit(level).alias("level"), F.col("id").alias("x"), F.explode(F.sequence(F.lit(y0), F.lit(y1))).cast("long").alias("y"))
+    return spark.range(x0, x1 + 1).select(F.lit(level).alias("level"), F.col("id").alias("x"), F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long"))).alias("y"))
 
 
 def tile_samples(tiles: DataFrame, n: int) -> DataFrame:
@@ -79,17 +79,16 @@ def pyramid(candidates: DataFrame, leaf_counts: DataFrame, max_level: int, least
 
     A leaf with fewer than ``least`` samples is recorded as empty; a coarser candidate is
     empty if all its four children are recorded as empty.  Children that were never
-    candidates are not recorded, so a tile at the edge stays.  One aggregation a level.
+    candidates are not recorded, so a tile at the edge stays.  So a tile is empty exactly
+    when all of its ``4**k`` leaves are recorded: empty leaves are counted for every
+    ancestor in one aggregation, whatever the number of levels.
     """
     leaf = candidates.where(F.col("level") == max_level).join(leaf_counts, ["level", "x", "y"], "left")
-    gone = leaf.where(F.coalesce("valid", F.lit(0)) < least).select("level", "x", "y")
-    out = leaf.where(F.coalesce("valid", F.lit(0)) >= least).select("level", "x", "y")
-    for level in range(max_level - 1, -1, -1):
-        full = gone.groupBy((F.floor(F.col("x") / 2)).alias("x"), (F.floor(F.col("y") / 2)).alias("y")).agg(F.count("*").alias("n")).where("n = 4").select("x", "y")
-        own = candidates.where(F.col("level") == level)
-        out = out.unionByName(own.join(full, ["x", "y"], "left_anti").select("level", "x", "y"))
-        gone = own.join(full, ["x", "y"], "left_semi").select("level", "x", "y")
-    return out
+    gone = leaf.where(F.coalesce("valid", F.lit(0)) < least).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("k"))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("k")))
+    full = gone.groupBy((F.lit(max_level) - F.col("k")).alias("level"), up("x").alias("x"), up("y").alias("y"), "k").agg(F.count("*").alias("n"))
+    full = full.where(F.col("n") == F.pow(F.lit(4.0), F.col("k"))).select("level", "x", "y")
+    return candidates.join(full, ["level", "x", "y"], "left_anti").select("level", "x", "y")
 
 
 def with_roots(tiles: DataFrame) -> DataFrame:
