@@ -8,7 +8,8 @@ from ..functions import strings
 from ..functions.numeric import quantised
 from ..operators import binding, georef, hierarchy, octree
 from . import fixtures as V
-from .function_queries import elements, sq
+from .function_queries import sq
+from .lineage import written
 from .registry import query, table
 
 CELL, LOD = 100.0, 5
@@ -115,7 +116,7 @@ def _error_sql() -> str:
 
 @query(_error_sql())
 def geometric_error(spark, d):
-    return octree.with_geometric_error(_rolled(spark, d), 5000.0, LOD).select(*octree.CELL, quantised(F.col("error")).alias("error"))
+    return octree.with_geometric_error(written(_rolled(spark, d), "cells"), 5000.0, LOD).select(*octree.CELL, quantised(F.col("error")).alias("error"))
 
 
 @query(

@@ -139,10 +139,10 @@ def edge_vertex_lists(spark, d):
     return mesh.edge_lists(uv, ["tile"]).drop("tile")
 
 
-@query(f"WITH {V.INST_SQL}, c AS (SELECT mesh_id, avg(x0) AS cx, avg(y0) AS cy, avg(z0) AS cz, greatest(max(x0)-min(x0), max(y0)-min(y0), max(z0)-min(z0)) AS rg FROM inst GROUP BY 1) SELECT mesh_id, {sq('any_value(cx)', '1e1')} AS cx, {sq('max(sqrt((x0-cx)*(x0-cx) + (y0-cy)*(y0-cy) + (z0-cz)*(z0-cz))) + greatest(0.001, any_value(rg)/65534)', '1e1')} AS radius FROM inst JOIN c USING (mesh_id) GROUP BY 1")
+@query(f"WITH {V.INST_SQL}, c AS (SELECT mesh_id, avg(x0) AS cx, avg(y0) AS cy, avg(z0) AS cz, greatest(max(x0)-min(x0), max(y0)-min(y0), max(z0)-min(z0)) AS rg FROM inst GROUP BY 1) SELECT mesh_id, {sq('any_value(cx)', '7.3')} AS cx, {sq('max(sqrt((x0-cx)*(x0-cx) + (y0-cy)*(y0-cy) + (z0-cz)*(z0-cz))) + greatest(0.001, any_value(rg)/65534)', '7.3')} AS radius FROM inst JOIN c USING (mesh_id) GROUP BY 1")
 def bounding_sphere(spark, d):
     v = V.instances(spark, d).select("mesh_id", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("z0").alias("z"))
-    return mesh.bounding_sphere(v, ["mesh_id"]).select("mesh_id", quantised(F.col("cx"), 10.0).alias("cx"), quantised(F.col("radius"), 10.0).alias("radius"))
+    return mesh.bounding_sphere(v, ["mesh_id"]).select("mesh_id", quantised(F.col("cx"), 7.3).alias("cx"), quantised(F.col("radius"), 7.3).alias("radius"))
 
 
 @query(
