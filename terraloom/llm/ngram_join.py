@@ -6,11 +6,15 @@
    shingles of the corpus follow.
 2. Classes that share a min-hash form groups.  A group is cut into blocks of at most
    ``BLOCK_SETS`` classes, each with the group's first class beside its own, and each
-   block is joined exactly by a :mod:`signature tree <.signature_tree>`.
+   block is joined exactly by a :mod:`signature tree <.signature_tree>`.  A second
+   round of blocks gathers the classes that are still apart around the class, among
+   those that share a shingle, whose shingles are shared most: copies that are alike
+   through their original alone meet it there.
 3. What no group has joined is completed exactly by prefix filtering: with the
    frequent shingles last in the order, classes that are similar share a shingle of
-   their prefixes.  Pairs of classes that are not yet connected are counted over all
-   prefix shingles; those whose count still allows enough overlap are compared in full.
+   their prefixes.  Pairs of classes that are not yet connected, and whose shingle counts
+   by ``BINS`` hash bins allow enough overlap, are counted over all prefix shingles;
+   those whose count still allows enough are compared in full.
 
 Steps 2 and 3 leave out pairs that are already connected, so a group of thousands of
 near copies costs about as many comparisons as it has members.  The order of the
@@ -34,12 +38,13 @@ from .signature_tree import SignatureTree
 
 SHINGLE, PERCENT = 5, 75
 KEYS, BLOCK_SETS = 4, 200
+BINS = 128
 FREQUENT, FREQUENT_MOST = 16, 1 << 20
 BROADCAST_ROWS = 1 << 20
 _SEEDS = np.array([0, 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-_DOCS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"k{i}", pa.int64()) for i in range(KEYS))])
-_DOCS_DDL = "kind byte, a long, n long, cls long, " + ", ".join(f"k{i} long" for i in range(KEYS))
+_DOCS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"k{i}", pa.int64()) for i in range(KEYS)), ("bins", pa.binary())])
+_DOCS_DDL = "kind byte, a long, n long, cls long, " + ", ".join(f"k{i} long" for i in range(KEYS)) + ", bins binary"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +98,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (c := int(cls[d])) not in known:
                     known.add(c)
                     seen.append(tokens[soff[d] : soff[d + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], pa.array(n), pa.array(cls.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], schema=_DOCS)
+            at = np.repeat(np.arange(j - i), n) * BINS + (tokens & np.uint64(BINS - 1)).astype(np.int64)
+            bins = np.minimum(np.bincount(at, minlength=(j - i) * BINS), 255).astype(np.uint8)
+            body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((np.arange(j - i + 1) * BINS).astype(np.int32).tobytes()), pa.py_buffer(bins.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], pa.array(n), pa.array(cls.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), body], schema=_DOCS)
         if seen:
             token, count = np.unique(np.concatenate(seen), return_counts=True)
             token, count = token[count > 1], count[count > 1]
             zero = pa.array(np.zeros(len(token), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), pa.array(token.view(np.int64)), pa.array(count), zero, *[zero] * KEYS], schema=_DOCS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), pa.array(token.view(np.int64)), pa.array(count), zero, *[zero] * KEYS, pa.nulls(len(token), pa.binary())], schema=_DOCS)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +210,66 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(tokens, classes)
 
 
-FLUSH = 2_000_000
+FLUSH = 500_000
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Tables of whole groups: rows come sorted by the first column; with the bounds of the groups."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        if rest is not None:
+            now = pa.concat_tables([rest, now])
+        key = now.column(0).to_numpy()
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        if len(first) > 1:
+            yield first, now.slice(0, first[-1]).combine_chunks()
+        rest = now.slice(first[-1])
+    if rest is not None and len(rest):
+        yield np.array([0, len(rest)]), rest.combine_chunks()
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, cls, comp, score) come sorted by token: (centre, cls, c) for classes not connected to the centre.
+
+    The centre of a token is its class of the highest score; ``c`` counts the tokens of
+    this partition that give the pair.
+    """
+    for bound, rows in _groups(batches):
+        cls, comp, score = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        size = np.diff(bound)
+        group = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((cls, -score, group))
+        top = order[bound[:-1]]
+        centre = np.repeat(cls[top], size)
+        away = comp != np.repeat(comp[top], size)
+        if away.any():
+            pairs = np.stack([centre[away], cls[away]], 1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(np.diff(np.append(first, len(pairs))))], names=["centre", "cls", "c"])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, cls, comp): those whose token has more than one component."""
+    for bound, rows in _groups(batches):
+        comp = rows.column(2).to_numpy()
+        first = bound[:-1]
+        many = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+        keep = np.repeat(many, np.diff(bound))
+        if keep.any():
+            yield from rows.filter(pa.array(keep)).to_batches()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, cls, n, comp) come sorted by token: pairs of unconnected classes with the tokens they share.
+    """Rows (token, cls, comp, n, bins) come sorted by token: pairs of unconnected classes with the tokens they share.
 
-    Pairs are counted in memory and sent on once ``FLUSH`` have come together.
+    A pair is left out where even the sum of the smaller counts by bin, the most its
+    sets can overlap, is too little.  Pairs are counted in memory and sent on once
+    ``FLUSH`` have come together.
     """
     store: list[np.ndarray] = []
     held = 0
@@ -227,38 +288,34 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(p[:, k]) for k in range(4)), pa.array(count)], names=["a", "b", "na", "nb", "c"])
         store, held = [], 0
 
-    def group(cls: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
-        if (comp == comp[0]).all():
-            return
+    def group(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, bins: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(cls)
-        cls, n, comp = cls[order], n[order], comp[order]
+        cls, comp, n, bins = cls[order], comp[order], n[order], bins[order]
         step = max(1, FLUSH // len(cls))
         for i in range(0, len(cls), step):
-            a, b = np.nonzero((comp[i : i + step, None] != comp[None, :]) & (np.arange(i, min(i + step, len(cls)))[:, None] < np.arange(len(cls))[None, :]))
+            j = min(i + step, len(cls))
+            a, b = np.nonzero((comp[i:j, None] != comp[None, :]) & (np.arange(i, j)[:, None] < np.arange(len(cls))[None, :]))
             a = a + i
             near = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
             a, b = a[near], b[near]
-            if len(a):
-                yield np.stack([cls[a], cls[b], n[a], n[b]], 1)
-
-    rest = None
-    for batch in batches:
-        cols = np.stack([c.to_numpy() for c in batch.columns], 1)
-        cols = cols if rest is None else np.concatenate([rest, cols])
-        first = np.flatnonzero(np.concatenate([[True], cols[1:, 0] != cols[:-1, 0]])) if len(cols) else np.zeros(0, np.int64)
-        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            for pairs in group(cols[i:j, 1], cols[i:j, 2], cols[i:j, 3]):
+            for k in range(0, len(a), 50_000):
+                x, y = a[k : k + 50_000], b[k : k + 50_000]
+                least = np.minimum(bins[x], bins[y])
+                most = np.where((least == 255).any(1), np.minimum(n[x], n[y]), least.sum(1, dtype=np.int64))
+                able = (100 + PERCENT) * most >= PERCENT * (n[x] + n[y])
+                if able.any():
+                    x, y = x[able], y[able]
+                    yield np.stack([cls[x], cls[y], n[x], n[y]], 1)
+
+    for bound, rows in _groups(batches):
+        cls, comp, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        bins = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
+        for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            for pairs in group(cls[i:j], comp[i:j], n[i:j], bins[i:j]):
                 store.append(pairs)
                 held += len(pairs)
                 if held >= FLUSH:
                     yield from flush()
-        rest = cols[first[-1] :] if len(first) else cols
-    if rest is not None and len(rest):
-        for pairs in group(rest[:, 1], rest[:, 2], rest[:, 3]):
-            store.append(pairs)
-            held += len(pairs)
-            if held >= FLUSH:
-                yield from flush()
     yield from flush()
 
 
@@ -285,9 +342,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = written(rows.mapInArrow(_profile, _DOCS_DDL), "shingle-profile")
-    documents = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", *(f"k{i}" for i in range(KEYS)))
+    documents = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", *(f"k{i}" for i in range(KEYS)), "bins")
     frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}").orderBy(F.desc("n"), "a").limit(FREQUENT_MOST)
-    classes = written(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS))), "classes")
+    classes = written(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)), F.max("bins").alias("bins")), "classes")
 
     # Groups by min-hash.  Beyond the first key, one class stands for all that share the first key as well.
     own = classes.select(F.xxhash64(F.lit(0), "k0").alias("key"), "cls")
@@ -308,19 +365,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def dealt(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, "cls")
 
-    in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "tokens")
-    links = written(dealt(in_blocks, "key", "salt").mapInArrow(_tree_links, "a long, b long").distinct(), "tree-links")
+    def linked(blocks: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) inside the blocks (key, salt, cls), by a signature tree each."""
+        in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "tokens")
+        return written(dealt(in_blocks, "key", "salt").mapInArrow(_tree_links, "a long, b long").distinct(), name)
+
+    def state_of(joined: DataFrame) -> DataFrame:
+        return classes.select("cls", "n").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"))
+
+    links = linked(blocks, "tree-links")
     joined = components(links)
 
     # Completion: prefix postings of all classes against each other.
     hot = np.sort(frequent.select("a").toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))
     shared_hot = spark.sparkContext.broadcast(hot.tobytes())
     packed = rows.select("text").mapInArrow(_postings(shared_hot, 8 * parts), "part int, tokens binary, classes binary")
-    shared = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "token long, cls long")
-    state = classes.select("cls", "n").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"))
-    state = written(state, "class-state")
-    with_state = shared.join(state, "cls").select("token", "cls", "n", "comp")
-    pairs = with_state.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_candidates, "a long, b long, na long, nb long, c long")
+    shared = written(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "token long, cls long"), "shared-tokens")
+    by_token = lambda df: df.repartition(parts, "token").sortWithinPartitions("token")
+
+    # Around the class of a token whose prefix is shared most, the original of its copies, one more round of blocks.
+    scored = state_of(joined).join(shared.groupBy("cls").agg(F.count("*").alias("deg")), "cls").select("cls", "comp", (F.col("deg") / F.greatest(F.col("n"), F.lit(1))).alias("score"))
+    centres = by_token(shared.join(scored, "cls").select("token", "cls", "comp", "score")).mapInArrow(_centres, "centre long, cls long, c long")
+    centres = centres.groupBy("centre", "cls").agg(F.sum("c").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "centre")).alias("best")).select("cls", F.col("best.centre").alias("key"), F.col("best.c").alias("c"))
+    centres = centres.join(classes.select("cls", "n"), "cls").where(F.col("c") * 10 >= F.ceil(F.col("n") / 4)).select("key", "cls")
+    centres = written(centres, "centres")
+    around = centres.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("s"))
+    members = centres.join(around, "key").select("key", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int").alias("salt"), "cls")
+    heads = around.select("key", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("key").alias("cls"))
+    more = linked(written(members.unionByName(heads).distinct(), "centre-blocks"), "centre-links")
+    state = written(state_of(components(links.unionByName(more))).select("cls", "comp"), "class-state")
+
+    mixed = by_token(shared.join(state, "cls").select("token", "cls", "comp")).mapInArrow(_mixed, "token long, cls long, comp long")
+    described = mixed.join(classes.select("cls", "n", "bins"), "cls").select("token", "cls", "comp", "n", "bins")
+    pairs = by_token(described).mapInArrow(_candidates, "a long, b long, na long, nb long, c long")
     least = lambda n: F.ceil(F.col(n) * PERCENT / 100).cast("long") - 1  # noqa: E731  tokens behind the prefix
     pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
     pairs = pairs.where((F.col("c") + F.greatest(least("na"), least("nb"))) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
