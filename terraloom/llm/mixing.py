@@ -164,5 +164,5 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
     start = F.greatest(F.col("at") - F.col("block") * BLOCK, F.lit(0))
     end = F.least(F.col("at") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))
     parts = parts.select("rid", "ix", "block", start.alias("a"), end.alias("b"))
-    taken = parts.join(slots, ["ix", "block"]).groupBy("rid").agg(F.sum(F.greatest(F.least("b", "keep") - F.col("a"), F.lit(0))).alias("taken"))
+    taken = parts.join(slots.hint("merge"), ["ix", "block"]).groupBy("rid").agg(F.sum(F.greatest(F.least("b", "keep") - F.col("a"), F.lit(0))).alias("taken"))
     return known.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
