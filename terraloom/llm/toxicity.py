@@ -26,10 +26,10 @@ from .labels import held_out, sampled_ids
 from .quality import platt
 from .runtime import ship_by_value
 
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 THRESHOLD, SPAN, SUSPECT = 0.5, 0.5, 0.05
 LENGTH = 64
-EPOCHS, RATE = 12, 0.3
+EPOCHS, STEPS, RATE = 12, 60, 0.3
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
@@ -149,13 +149,16 @@ class Crf:
         families = [self.own, self.before, self.after, self.stem]
         past = [np.full(len(w), 1e-6) for w in families]
         past_bias, past_trans = 1e-6, np.full((2, 2), 1e-6)
-        for _ in range(EPOCHS):
+        # A small sample has few batches, so it is gone through more often.
+        for _ in range(max(EPOCHS, STEPS * 1024 // max(len(first), 1024))):
             order = rng.permutation(len(first))
             for at in range(0, len(order), 1024):
                 pick = order[at : at + 1024]
-                emit, live = self.padded(self.emit(f), first[pick], size[pick])
-                p, pair, _ = marginals(emit, size[pick], self.trans)
+                live = np.arange(LENGTH) < size[pick][:, None]
                 token = (first[pick][:, None] + np.arange(LENGTH))[live]
+                emit = np.zeros(live.shape)
+                emit[live] = self.emit([x[token] for x in f])
+                p, pair, _ = marginals(emit, size[pick], self.trans)
                 slope = p[live] - y[token]
                 seen = np.zeros((2, 2))
                 inner = live[:, 1:]
@@ -235,10 +238,14 @@ class Crf:
 def token_labels(h: np.ndarray, doff: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words whose documents are toxic by a lower confidence bound; the mark of each token in toxic documents."""
     doc = np.repeat(np.arange(len(doff) - 1), np.diff(doff))
-    pairs = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-    keys, at = np.unique(pairs[:, 0], return_inverse=True)
+    order = np.lexsort((doc, h))
+    hs, ds = h[order], doc[order]
+    new = np.ones(len(hs), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+    hs, ds = hs[new], ds[new]
+    keys, at = np.unique(hs, return_inverse=True)
     n = np.bincount(at, minlength=len(keys)).astype(float)
-    k = np.bincount(at, weights=toxic[pairs[:, 1].astype(np.int64)], minlength=len(keys))
+    k = np.bincount(at, weights=toxic[ds], minlength=len(keys))
     rate, z = k / np.maximum(n, 1), 2.6
     low = (rate + z * z / (2 * n) - z * np.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     marked = keys[(low > max(0.5, 1.5 * toxic.mean())) & (k >= 4)]
@@ -257,9 +264,8 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Crf | None:
     h, stem = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     doff = np.concatenate([[0], *(p[2] for p in parts)]).astype(np.int64)
     _, y = token_labels(h, doff, toxic)
-    # Symbols that are seen often enough to be learned, or that stand in or beside a marked token.
+    # Symbols that are seen often enough to be learned, and the marked tokens; their rare neighbours would only be learned by heart.
     near = np.flatnonzero(y)
-    near = np.unique(np.clip(np.concatenate([near - 1, near, near + 1]), 0, max(len(h) - 1, 0)))
     keys, count = np.unique(h, return_counts=True)
     model = Crf(np.concatenate([keys[count >= 30], h[near]]), stem[near][stem[near] > 0])
     w = model.words.find(h)
