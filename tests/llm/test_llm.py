@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -320,6 +321,35 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def secret_rows(rng, n):
+    """Texts with findings of the patterns, long words, and secrets that no pattern takes."""
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda k: "".join(rng.choice(alnum) for _ in range(k))
+    word = lambda: "".join(rng.choice(["tion", "ing", "er", "the", "re", "an", "ou"]) for _ in range(rng.randint(5, 9)))
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(8)]
+        if i % 3 == 0:
+            w[4] = rng.choice(['password="%s"', "token: %s", "secret=%s", "api_key = %s"]) % token(rng.randint(16, 40))
+        if i % 3 == 1:
+            w[4] = "value " + token(rng.randint(20, 40))
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_secrets_network_adds_spans(monkeypatch):
+    rng = random.Random(11)
+    rows = secret_rows(rng, 600)
+    model = secrets.train(pa.array([t for _, t in rows]))
+    new = secret_rows(rng, 300)
+    out = next(secrets._scan(model)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in new]), pa.array([t for _, t in new])], ["doc_id", "text"])])))
+    added = ["cnn:" in x for x in out.column("spans").to_pylist()]
+    assert sum(added[1::3]) >= 80 and sum(added[2::3]) <= 5
+    # The threshold is the quantile even where that is low.
+    monkeypatch.setattr(secrets, "platt", lambda z, y: (0.0, -3.0))
+    assert secrets.train(pa.array([t for _, t in rows])).threshold == pytest.approx(1 / (1 + np.exp(3)))
+
+
 def labelled(n, bad, clean, field):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
