@@ -350,6 +350,20 @@ def test_secrets_network_adds_spans(monkeypatch):
     assert secrets.train(pa.array([t for _, t in rows])).threshold == pytest.approx(1 / (1 + np.exp(3)))
 
 
+def test_secrets_windows_cover_candidates():
+    key = "".join(random.Random(3).choice("abcdefXYZ0123456789") for _ in range(300))
+    texts = ["pwd: Xk29fQ71mZpa", "see eyJhbGci.eyJzdWIi.c2ln now.", "a " + key + " after", "...", "", "é." + "é" * 3]
+    _, _, raw, off = next(secrets.T.rows(pa.array(texts)))
+    doc, s, e = secrets.candidates(raw, off)
+    assert [(d, raw[a:b].tobytes().decode()) for d, a, b in zip(doc, s, e, strict=True)] == [(0, "Xk29fQ71mZpa"), (1, "eyJhbGci.eyJzdWIi.c2ln"), (2, key)]
+    x, inside, n = secrets.windows(raw, off, doc, s, e)
+    own = np.repeat(np.arange(len(n)), n)
+    assert (x[own == 1][0].tobytes().strip(b"\0").decode(), inside[own == 1].sum()) == (texts[1], 22)
+    seen = [w.tobytes().strip(b"\0").decode() for w in x[own == 2]]
+    assert seen[0].startswith("a " + key[:40]) and seen[-1].endswith(key[-30:] + " after")
+    assert all(any(key[k : k + secrets.KERNEL] in w for w in seen) for k in range(len(key) - secrets.KERNEL + 1))
+
+
 def labelled(n, bad, clean, field):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
