@@ -7,7 +7,9 @@ probabilities are the slots still to be dealt, so the shards use up exactly the
 that the targets ask for.  Slot ``j`` of a source stands for a pass over the source and
 a position in it, which a keyed pseudorandom permutation of the block indexes maps to
 a block; blocks are then joined by (source, index).  The last slot of a source is cut
-to the words that are still missing.  Everything follows from the seed, so reruns agree.
+to the words that are still missing.  :func:`mixed` gives the slots with their words, the
+slots of a shard in a permuted order; what is taken of a document is summed up from it.
+Everything follows from the seed, so reruns agree.
 
 The running word offset of a source is a sum over hashed buckets of the source plus a
 running sum inside a bucket, so a source with a third of all rows is spread as well.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import partitions, ship_by_value, written
@@ -29,7 +31,7 @@ BLOCK, SHARD_SLOTS, SEED = 256, 4096, 20240917
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SLOTS = pa.schema([("ix", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("keep", pa.int64())])
+_SLOTS = pa.schema([("ix", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64()), ("keep", pa.int64())])
 
 
 def targets(sizes: list[int]) -> list[float]:
@@ -114,7 +116,7 @@ def _slot_rows(sources: dict[int, tuple[int, int, int]]):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ix, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, ix, first, count, before, all_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size, total, keep_last = sources[ix]
                 n = -(-size // BLOCK)
                 slot = np.arange(first, first + count)
@@ -122,35 +124,40 @@ def _slot_rows(sources: dict[int, tuple[int, int, int]]):
                 for turn in np.unique(slot // n).tolist():
                     own = slot // n == turn
                     block[own] = permuted(slot[own] % n, n, _key(ix, turn))
+                place = permuted(np.arange(before, before + count), all_, SEED + shard)
                 keep = np.where(slot == total - 1, keep_last, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, ix, np.int32)), pa.array(block), pa.array(np.full(count, shard, np.int32)), pa.array(keep)], schema=_SLOTS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, ix, np.int32)), pa.array(block), pa.array(np.full(count, shard, np.int32)), pa.array(place), pa.array(keep)], schema=_SLOTS)
 
     return kernel
 
 
-def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+def placed_draws(rows: list[list[int]]) -> list[list[int]]:
+    """The rows of :func:`draws` with the slots of the shard before theirs, and all of the shard."""
+    all_: dict[int, int] = {}
+    out = []
+    for shard, ix, first, n in rows:
+        out.append([shard, ix, first, n, all_.get(shard, 0)])
+        all_[shard] = all_.get(shard, 0) + n
+    return [[*r, all_[r[0]]] for r in out]
 
 
-def mix(docs: DataFrame, **columns: str) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken.
-
-    A null text has size 0 and is never taken; a null source is a source of its own,
-    after all others.  Repeated doc_ids are separate rows.  An empty table gives an
-    empty result.  Extra columns are not read.
-    """
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The rows with sizes and targets, and the mix with its parts by row."""
     ship_by_value()
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    sizes = written(sizes_of(docs, **columns).withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    # The row ids must hold in both passes, so the texts are written with them.
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    kept = written(kept.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    sizes = written(kept.select("doc_id", "source", size.alias("size"), "rid"), "sizes")
     of = {r[0]: r[1] for r in sizes.groupBy("source").agg(F.sum("size")).collect()}
     names = sorted((x for x in of if x is not None)) + [None] * (None in of)
     totals = [of[x] for x in names]
     goal = targets(totals)
     plan = {i: (totals[i], *slots_for(int(goal[i] + 0.5), totals[i], i)) for i in range(len(names))}
     table = spark.createDataFrame([(i, s, totals[i], goal[i]) for i, s in enumerate(names)], "ix int, source string, source_size long, target double")
-    dealt = spark.createDataFrame(draws([plan[i][1] for i in range(len(names))]), "shard int, ix int, first long, n long")
-    slots = dealt.repartition(n).mapInArrow(_slot_rows(plan), "ix int, block long, shard int, keep long")
+    dealt = spark.createDataFrame(placed_draws(draws([plan[i][1] for i in range(len(names))])), "shard int, ix int, first long, n long, before long, all long")
+    slots = dealt.repartition(n).mapInArrow(_slot_rows(plan), "ix int, block long, shard int, slot long, keep long")
 
     known = sizes.join(table.select(F.col("source").alias("s"), "ix", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(4 * n))
@@ -160,9 +167,42 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
     run = F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy("doc_id", "rid"))
     at = spread.select("rid", "ix", "bucket", "size", run.alias("run")).join(base, ["ix", "bucket"])
     at = at.select("rid", "ix", "size", (F.col("base") + F.col("run") - F.col("size")).alias("at"))
-    parts = at.select("rid", "ix", "size", "at", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")).alias("block"))
-    start = F.greatest(F.col("at") - F.col("block") * BLOCK, F.lit(0))
-    end = F.least(F.col("at") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))
-    parts = parts.select("rid", "ix", "block", start.alias("a"), end.alias("b"))
-    taken = parts.join(slots.hint("merge"), ["ix", "block"]).groupBy("rid").agg(F.sum(F.greatest(F.least("b", "keep") - F.col("a"), F.lit(0))).alias("taken"))
+
+    blocks = F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")
+    start = lambda b: F.greatest(F.col("at") - b * BLOCK, F.lit(0))
+    end = lambda b: F.least(F.col("at") + F.col("size") - b * BLOCK, F.lit(BLOCK))
+    # The words are bound once for all blocks of a text.
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+
+    def part(w: Column, b: Column) -> Column:
+        own = F.slice(w, (b * BLOCK + start(b) - F.col("at") + 1).cast("int"), (end(b) - start(b)).cast("int"))
+        return F.struct(b.alias("block"), start(b).alias("a"), end(b).alias("b"), F.array_join(own, " ").alias("words"))
+
+    cut = F.get(F.transform(words, lambda w: F.transform(blocks, lambda b: part(w, b))), F.lit(0))
+    pieces = kept.select("rid", "doc_id", "text").join(at, "rid").select("rid", "doc_id", "ix", F.explode(cut).alias("p")).select("ix", "p.block", F.struct("p.a", "p.b", "rid", "doc_id", "p.words").alias("p"))
+    whole = pieces.groupBy("ix", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    filled = whole.join(slots.hint("merge"), ["ix", "block"])
+    tokens = F.slice(F.split(F.array_join(F.col("p.words"), " "), " "), F.lit(1), F.col("keep").cast("int"))
+    parts = F.filter(F.transform("p", lambda x: F.struct(x["rid"].alias("rid"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("words"))), lambda x: x["words"] > 0)
+    return known, filled.select("shard", "slot", "ix", tokens.alias("tokens"), parts.alias("parts")).join(table.select("ix", "source"), "ix").select("shard", "slot", "source", "tokens", "parts")
+
+
+def mixed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The mix: a row for each slot, with shard, slot (from 0 in its shard), source, tokens (its words) and parts.
+
+    A part is a run of the tokens that comes from one row: doc_id and the number of words.
+    """
+    out = _mixed(docs, **columns)[1]
+    return out.withColumn("parts", F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["words"].alias("words"))))
+
+
+def mix(docs: DataFrame, **columns: str) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    A null text has size 0 and is never taken; a null source is a source of its own,
+    after all others.  Repeated doc_ids are separate rows.  An empty table gives an
+    empty result.  Extra columns are not read.
+    """
+    known, slots = _mixed(docs, **columns)
+    taken = slots.select(F.explode("parts").alias("p")).groupBy("p.rid").agg(F.sum("p.words").alias("taken"))
     return known.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -228,6 +228,29 @@ def test_mixing(frame, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixed_blocks(frame, texts, empty):
+    rows = mixing.mixed(frame).collect()
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts}
+    shards, taken = collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        shards[r.shard].append(r.slot)
+        assert 0 < len(r.tokens) == sum(p.words for p in r.parts) <= mixing.BLOCK
+        k = 0
+        for p in r.parts:
+            run, own = r.tokens[k : k + p.words], words[p.doc_id]
+            assert any(own[j : j + p.words] == run for j in range(len(own) - p.words + 1))
+            taken[p.doc_id] += p.words
+            k += p.words
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+    told = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        told[r.doc_id] += r.taken
+    assert +told == taken
+    # No pass over a source gives a word of a document twice: at most two passes are taken.
+    assert all(taken[i] <= 2 * len(w) * (1 + (i == 5)) for i, w in words.items())
+    assert mixing.mixed(empty).count() == 0
+
+
 def test_mixing_targets_and_permutation():
     assert mixing.targets([100, 100, 100]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0.0, 15.0]
