@@ -51,13 +51,27 @@ def apply_polynomial(df: DataFrame, fit: dict) -> DataFrame:
 
 
 def fit_affine(points: DataFrame) -> np.ndarray:
-    """4 x 3 matrix of the least-squares affine map of (sx, sy, sz) to (tx, ty, tz); at least four points."""
-    a = np.array(points.select("sx", "sy", "sz", "tx", "ty", "tz").limit(MOST_POINTS).collect(), float)
-    if len(a) < 4:
+    """4 x 3 matrix of the least-squares affine map of (sx, sy, sz) to (tx, ty, tz) over all points; at least four.
+
+    The points stay where they are: one aggregation gives means and spans, a second the sums
+    of products about the means, in units of the spans, so that large coordinates keep their digits.
+    """
+    names = ("sx", "sy", "sz", "tx", "ty", "tz")
+    points = points.select(*(F.col(c).cast("double").alias(c) for c in names))
+    n, *stats = points.agg(F.count("*"), *(F.avg(c) for c in names), *(F.max(c) - F.min(c) for c in names)).first()
+    if n < 4:
         raise ValueError("too few control points")
-    mid, out = a[:, :3].mean(0), a[:, 3:].mean(0)
-    m = np.linalg.lstsq(a[:, :3] - mid, a[:, 3:] - out, rcond=None)[0]
-    return np.vstack([m, out - mid @ m])
+    if None in stats or points.where(" OR ".join(f"{c} IS NULL" for c in names)).limit(1).count():
+        raise ValueError("control points with a null coordinate")
+    mid, span = np.array(stats[:6]), np.array([w or 1.0 for w in stats[6:]])
+    z = [(F.col(c) - F.lit(float(m))) / F.lit(float(w)) for c, m, w in zip(names, mid, span, strict=True)]
+    sums = points.agg(*(F.sum(z[i] * z[j]) for i in range(3) for j in range(6)), *(F.sum(x) for x in z)).first()
+    a, rest = np.array(sums[:18], float).reshape(3, 6), np.array(sums[18:], float)
+    # What rounding left of the means.
+    a -= np.outer(rest[:3], rest) / n
+    # A direction without extent counts for nothing, as in the fit by SVD of the points themselves.
+    m = np.linalg.lstsq(a[:, :3], a[:, 3:], rcond=1e-12)[0] * span[3:] / span[:3, None]
+    return np.vstack([m, mid[3:] - mid[:3] @ m])
 
 
 def utm_candidates(lon: float, lat: float, spread: int = 2) -> list[tuple[str, float]]:
