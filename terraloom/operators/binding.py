@@ -9,28 +9,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.plans.lineage import written
+
 RESERVED = ("objectId", "objectName", "objectClass")
 #: Keys that may hold an identifier, in order.
 DEFAULT_KEYS = ("GlobalId", "ElementId", "ifcGUID", "UniqueId")
 LEDGER_KEYS = ("GlobalId", "ObjectId", "ElementId", "ifcGUID", "UniqueId")
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(node, ancestor, distance), the node itself at 0; by as many joins as the tree is deep, at most ``max_depth``."""
+def ancestors(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance), the node itself at 0; to the root, or at most ``max_depth`` levels up.
+
+    Without ``max_depth`` the reach doubles each round, and the lineage is cut; the rows end
+    where no parent is left.  A cycle of parents is an error.
+    """
+    if max_depth is None:
+        return _all_ancestors(nodes)
+    parents = nodes.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
     step = nodes.select("node", F.col("node").alias("ancestor"), F.col("parent"), F.lit(0).alias("distance"))
     out = step
-    parents = nodes.select(F.col("node").alias("__n"), F.col("parent").alias("__p"))
     for k in range(1, max_depth + 1):
         step = step.where("parent IS NOT NULL").join(parents, F.col("parent") == F.col("__n")).select("node", F.col("__n").alias("ancestor"), F.col("__p").alias("parent"), F.lit(k).alias("distance"))
         out = out.unionByName(step)
     return out.drop("parent")
 
 
-def inherited(nodes: DataFrame, props: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(node, key, value, ord): properties of a node and its ancestors; the nearest holds, the root's place is kept."""
+def _all_ancestors(nodes: DataFrame) -> DataFrame:
+    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    # As in the bounded walk, a parent that is no node ends the way.
+    known = nodes.select(F.col("node").alias("parent")).distinct()
+    have = written(nodes.where("parent IS NOT NULL").join(known, "parent").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
+    reach = 1
+    while True:
+        # From the farthest ancestor found, all that it has found.
+        far = have.where(F.col("distance") == reach).select("node", F.col("ancestor").alias("__via"))
+        on = have.select(F.col("node").alias("__via"), F.col("ancestor"), (F.col("distance") + reach).alias("distance"))
+        more = far.join(on, "__via").select("node", "ancestor", "distance")
+        if more.isEmpty():
+            return own.unionByName(have)
+        have = written(have.unionByName(more), "ancestors")
+        if not have.where("node = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
+        reach *= 2
+
+
+def inherited(nodes: DataFrame, props: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, key, value, ord): properties of a node and its ancestors; the nearest holds, the root's place is kept.
+
+    ``depth`` ascends from the root's properties to the node's own.
+    """
     chain = ancestors(nodes, max_depth).join(props.withColumnRenamed("node", "ancestor"), "ancestor")
     place = F.max(F.struct("distance", (-F.col("ord")).alias("o")))
-    return chain.groupBy("node", "key").agg(F.min_by("value", "distance").alias("value"), place.alias("p")).select("node", "key", "value", (F.lit(max_depth) - F.col("p.distance")).alias("depth"), (-F.col("p.o")).alias("ord"))
+    return chain.groupBy("node", "key").agg(F.min_by("value", "distance").alias("value"), place.alias("p")).select("node", "key", "value", (F.lit(max_depth or 0) - F.col("p.distance")).alias("depth"), (-F.col("p.o")).alias("ord"))
 
 
 def first_of_key(ledger: DataFrame, key: str, order: str) -> DataFrame:
