@@ -1,25 +1,27 @@
 """Jaccard self-join of documents on word shingles, as connected components.
 
 1. One pass over the texts gives every document the number of its shingles, a class
-   (documents with the same shingle set are one class), ``KEYS`` min-hashes, and the
-   shingles that an Arrow batch holds more than once; from these the frequent
-   shingles of the corpus follow.
+   (documents with the same shingle set are one class), ``KEYS`` min-hashes, a bitmap
+   of its shingles, and the shingles that an Arrow batch holds more than once; from
+   these the frequent shingles of the corpus follow.
 2. Classes that share a min-hash form groups.  A group is cut into blocks of at most
    ``BLOCK_SETS`` classes, each with the group's first class beside its own, and each
    block is joined exactly by a :mod:`signature tree <.signature_tree>`.  A second
    round of blocks gathers the classes that are still apart around the class, among
    those that share a shingle, whose shingles are shared most: copies that are alike
    through their original alone meet it there.
-3. What no group has joined is completed exactly by prefix filtering: with the
-   frequent shingles last in the order, classes that are similar share a shingle of
-   their prefixes.  Pairs of classes that are not yet connected, and whose shingle counts
-   by ``BINS`` hash bins allow enough overlap, are counted over all prefix shingles;
-   those whose count still allows enough are compared in full.
-
-Steps 2 and 3 leave out pairs that are already connected, so a group of thousands of
-near copies costs about as many comparisons as it has members.  The order of the
-shingles, and so the frequent list (at most ``FREQUENT_MOST``, of all documents), has
-no part in the result: any order gives the same links.
+3. Whatever is still apart is joined by trees over prefix lists: with the frequent
+   shingles last in the order, classes that are similar share a shingle of their
+   prefixes, so the classes of each such shingle are one list, and equal lists are
+   one.  A tree of bitmaps and sizes walks every list; the pairs it lets through become
+   clusters within the task, and the classes of a cluster meet, by two sides of
+   ``BLOCK_SETS``, in blocks that a tree over the whole sets decides.
+
+Pairs that are already connected are left out everywhere, and no step emits pairs: a
+block gives one edge for a class at most, and a cluster of ``m`` classes costs
+``m * m / BLOCK_SETS`` rows.  The order of the shingles, and so the frequent list (at most
+``FREQUENT_MOST``, of all documents), has no part in the result: any order gives the
+same links.
 """
 
 from __future__ import annotations
@@ -34,17 +36,17 @@ from pyspark.sql import functions as F
 from . import text as T
 from .components import components
 from .runtime import partitions, ship_by_value, written
-from .signature_tree import SignatureTree
+from .signature_tree import BitmapTree, SignatureTree, bitmap, width_of
 
 SHINGLE, PERCENT = 5, 75
 KEYS, BLOCK_SETS = 4, 200
-BINS = 128
+LIST_BLOCK, SHORT_LIST = 2000, 64
 FREQUENT, FREQUENT_MOST = 16, 1 << 20
 BROADCAST_ROWS = 1 << 20
 _SEEDS = np.array([0, 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-_DOCS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"k{i}", pa.int64()) for i in range(KEYS)), ("bins", pa.binary())])
-_DOCS_DDL = "kind byte, a long, n long, cls long, " + ", ".join(f"k{i} long" for i in range(KEYS)) + ", bins binary"
+_DOCS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), *((f"k{i}", pa.int64()) for i in range(KEYS)), ("bits", pa.binary())])
+_DOCS_DDL = "kind byte, a long, n long, cls long, " + ", ".join(f"k{i} long" for i in range(KEYS)) + ", bits binary"
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +83,10 @@ def classes_of(tokens: np.ndarray, soff: np.ndarray) -> np.ndarray:
     return out
 
 
+def _own_bitmap(tokens: np.ndarray) -> bytes:
+    return bitmap(tokens, width_of(len(tokens))).tobytes()
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: list[np.ndarray] = []
@@ -98,9 +104,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (c := int(cls[d])) not in known:
                     known.add(c)
                     seen.append(tokens[soff[d] : soff[d + 1]])
-            at = np.repeat(np.arange(j - i), n) * BINS + (tokens & np.uint64(BINS - 1)).astype(np.int64)
-            bins = np.minimum(np.bincount(at, minlength=(j - i) * BINS), 255).astype(np.uint8)
-            body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((np.arange(j - i + 1) * BINS).astype(np.int32).tobytes()), pa.py_buffer(bins.tobytes())])
+            body = pa.array([_own_bitmap(tokens[x:y]) for x, y in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], pa.array(n), pa.array(cls.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), body], schema=_DOCS)
         if seen:
             token, count = np.unique(np.concatenate(seen), return_counts=True)
@@ -118,26 +122,30 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, salt, cls, tokens) come sorted by block; a block's links as edges to the first of each component."""
+    """Rows (key, salt, cls, comp, tokens) come sorted by block; its links as edges to the first of each component.
 
-    def links(cls: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        root = SignatureTree(sets, PERCENT).components()
+    Classes of one ``comp`` are connected already.
+    """
+
+    def links(cls: list[int], comp: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        root = SignatureTree(sets, PERCENT, comp).components()
         return [cls[i] for i, r in enumerate(root) if r != i], [cls[r] for i, r in enumerate(root) if r != i]
 
-    block, cls, sets = None, [], []
+    block, cls, comp, sets = None, [], [], []
     for batch in batches:
         a, b = [], []
-        for key, salt, c, tokens in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for key, salt, c, known, tokens in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if (key, salt) != block:
-                for to, x in zip((a, b), links(cls, sets) if len(cls) > 1 else ([], []), strict=True):
+                for to, x in zip((a, b), links(cls, comp, sets) if len(cls) > 1 else ([], []), strict=True):
                     to += x
-                block, cls, sets = (key, salt), [], []
+                block, cls, comp, sets = (key, salt), [], [], []
             if not cls or cls[-1] != c:
                 cls.append(c)
+                comp.append(known)
                 sets.append(np.frombuffer(tokens, np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     if len(cls) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(cls, sets)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(cls, comp, sets)], names=["a", "b"])
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -210,20 +218,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(tokens, classes)
 
 
-FLUSH = 500_000
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
-    """Tables of whole groups: rows come sorted by the first column; with the bounds of the groups."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Tables of whole groups: rows come sorted by the first columns; with the bounds of the groups."""
     rest: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
         if rest is not None:
             now = pa.concat_tables([rest, now])
-        key = now.column(0).to_numpy()
-        if not len(key):
+        if not len(now):
             continue
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new = np.zeros(len(now), bool)
+        new[0] = True
+        for k in range(keys):
+            key = now.column(k).to_numpy()
+            new[1:] |= key[1:] != key[:-1]
+        first = np.flatnonzero(new)
         if len(first) > 1:
             yield first, now.slice(0, first[-1]).combine_chunks()
         rest = now.slice(first[-1])
@@ -253,80 +262,49 @@ def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(np.diff(np.append(first, len(pairs))))], names=["centre", "cls", "c"])
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, cls, comp): those whose token has more than one component."""
-    for bound, rows in _groups(batches):
-        comp = rows.column(2).to_numpy()
-        first = bound[:-1]
-        many = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-        keep = np.repeat(many, np.diff(bound))
-        if keep.any():
-            yield from rows.filter(pa.array(keep)).to_batches()
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, cls, comp, n, bins) come sorted by token: pairs of unconnected classes with the tokens they share.
+def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, list, lo, hi, side, cls, comp, n, bits) come sorted by list block: edges (a, b) that join what may be similar.
 
-    A pair is left out where even the sum of the smaller counts by bin, the most its
-    sets can overlap, is too little.  Pairs are counted in memory and sent on once
-    ``FLUSH`` have come together.
+    A list block joins the two sides ``lo`` and ``hi`` of a list, or a side with itself, by a
+    tree.  Sets that can be similar differ by a factor of two in the width of their
+    bitmaps at most: a tree holds the sets of one width and those of the next, folded.
+    The pairs that a tree lets through are joined to clusters here and never sent: a class
+    has one edge at most, to the first of its cluster.
     """
-    store: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal store, held
-        if store:
-            pairs = np.concatenate(store)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            new = np.ones(len(pairs), bool)
-            new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(pairs)))
-            p = pairs[first]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p[:, k]) for k in range(4)), pa.array(count)], names=["a", "b", "na", "nb", "c"])
-        store, held = [], 0
-
-    def group(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, bins: np.ndarray) -> Iterator[np.ndarray]:
-        order = np.argsort(cls)
-        cls, comp, n, bins = cls[order], comp[order], n[order], bins[order]
-        step = max(1, FLUSH // len(cls))
-        for i in range(0, len(cls), step):
-            j = min(i + step, len(cls))
-            a, b = np.nonzero((comp[i:j, None] != comp[None, :]) & (np.arange(i, j)[:, None] < np.arange(len(cls))[None, :]))
-            a = a + i
-            near = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
-            a, b = a[near], b[near]
-            for k in range(0, len(a), 50_000):
-                x, y = a[k : k + 50_000], b[k : k + 50_000]
-                least = np.minimum(bins[x], bins[y])
-                most = np.where((least == 255).any(1), np.minimum(n[x], n[y]), least.sum(1, dtype=np.int64))
-                able = (100 + PERCENT) * most >= PERCENT * (n[x] + n[y])
-                if able.any():
-                    x, y = x[able], y[able]
-                    yield np.stack([cls[x], cls[y], n[x], n[y]], 1)
-
-    for bound, rows in _groups(batches):
-        cls, comp, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
-        bins = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, BINS)
-        for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-            for pairs in group(cls[i:j], comp[i:j], n[i:j], bins[i:j]):
-                store.append(pairs)
-                held += len(pairs)
-                if held >= FLUSH:
-                    yield from flush()
-    yield from flush()
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if SignatureTree([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)], PERCENT).similar(0, 1):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    def block(side: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], crossed: bool) -> None:
+        width = np.array([len(x) for x in bits])
+        for w in np.unique(width).tolist():
+            own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            wider = wider[PERCENT * n[wider] <= 100 * n[own].max()]
+            rows = np.concatenate([own, wider])
+            if len(rows) < 2 or comp[rows].min() == comp[rows].max():
+                continue
+            halves = np.frombuffer(b"".join(bits[i] for i in wider.tolist()), np.uint64).reshape(len(wider), 2, w // 8)
+            packed = np.concatenate([np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint64).reshape(len(own), w // 8), halves[:, 0] | halves[:, 1]])
+            for p, q in BitmapTree(n[rows], packed, comp[rows], PERCENT).pairs():
+                new = np.minimum(p, q) < len(own)
+                if crossed:
+                    new &= side[rows[p]] != side[rows[q]]
+                for i, j in zip(rows[p[new]].tolist(), rows[q[new]].tolist(), strict=True):
+                    a, b = find(int(cls[i])), find(int(cls[j]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+
+    for bound, rows in _groups(batches, 4):
+        side, cls, comp, n = (rows.column(k).to_numpy() for k in (4, 5, 6, 7))
+        bits = rows.column(8).to_pylist()
+        crossed = (rows.column(2).to_numpy() != rows.column(3).to_numpy())[bound[:-1]]
+        for i, j, x in zip(bound[:-1].tolist(), bound[1:].tolist(), crossed.tolist(), strict=True):
+            block(side[i:j], cls[i:j], comp[i:j], n[i:j], bits[i:j], x)
+    nodes = sorted(c for c in root if find(c) != c)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(c) for c in nodes], pa.int64())], names=["a", "b"])
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,9 +320,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = written(rows.mapInArrow(_profile, _DOCS_DDL), "shingle-profile")
-    documents = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", *(f"k{i}" for i in range(KEYS)), "bins")
+    documents = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", *(f"k{i}" for i in range(KEYS)), "bits")
     frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}").orderBy(F.desc("n"), "a").limit(FREQUENT_MOST)
-    classes = written(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)), F.max("bins").alias("bins")), "classes")
+    classes = written(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)), F.max("bits").alias("bits")), "classes")
 
     # Groups by min-hash.  Beyond the first key, one class stands for all that share the first key as well.
     own = classes.select(F.xxhash64(F.lit(0), "k0").alias("key"), "cls")
@@ -367,13 +345,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def linked(blocks: DataFrame, name: str) -> DataFrame:
         """Links (a, b) inside the blocks (key, salt, cls), by a signature tree each."""
-        in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "tokens")
+        in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "comp", "tokens")
         return written(dealt(in_blocks, "key", "salt").mapInArrow(_tree_links, "a long, b long").distinct(), name)
 
     def state_of(joined: DataFrame) -> DataFrame:
         return classes.select("cls", "n").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"))
 
-    links = linked(blocks, "tree-links")
+    links = linked(blocks.withColumn("comp", F.col("cls")), "tree-links")
     joined = components(links)
 
     # Completion: prefix postings of all classes against each other.
@@ -392,19 +370,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     around = centres.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("s"))
     members = centres.join(around, "key").select("key", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int").alias("salt"), "cls")
     heads = around.select("key", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("key").alias("cls"))
-    more = linked(written(members.unionByName(heads).distinct(), "centre-blocks"), "centre-links")
+    more = linked(written(members.unionByName(heads).distinct().withColumn("comp", F.col("cls")), "centre-blocks"), "centre-links")
     state = written(state_of(components(links.unionByName(more))).select("cls", "comp"), "class-state")
 
-    mixed = by_token(shared.join(state, "cls").select("token", "cls", "comp")).mapInArrow(_mixed, "token long, cls long, comp long")
-    described = mixed.join(classes.select("cls", "n", "bins"), "cls").select("token", "cls", "comp", "n", "bins")
-    pairs = by_token(described).mapInArrow(_candidates, "a long, b long, na long, nb long, c long")
-    least = lambda n: F.ceil(F.col(n) * PERCENT / 100).cast("long") - 1  # noqa: E731  tokens behind the prefix
-    pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
-    pairs = pairs.where((F.col("c") + F.greatest(least("na"), least("nb"))) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
-    pairs = written(pairs, "candidates")
-    sets = written(sets_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()).dropDuplicates(["cls"]), "candidate-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b")
-    more = both.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long")
+    # Tokens with the same classes are one list: its name is a sum over its classes.
+    owned = shared.join(state, "cls").select("token", "cls", "comp")
+    name = [F.sum(F.xxhash64(F.lit(k), "cls").bitwiseAND((1 << 47) - 1)).alias(f"h{k}") for k in (1, 2)]
+    lists = owned.groupBy("token").agg(*name, F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("cls").alias("first")).where("least <> most")
+    lists = lists.select("token", "m", "first", F.xxhash64("h1", "h2", "m").alias("list"))
+    members = owned.join(lists, "token").select("list", "m", "first", "cls", "comp").distinct()
+    # Long lists are cut into sides, and every two sides meet in a block.  Short lists with the same first class lie together.
+    s = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
+    deal = F.when(F.col("m") <= SHORT_LIST, F.col("first")).otherwise(F.col("list"))
+    members = members.select(deal.alias("deal"), "list", "cls", "comp", s.alias("s"), F.pmod(F.xxhash64("cls"), s).cast("int").alias("side"))
+    members = members.select("deal", "list", "cls", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    members = members.select("deal", "list", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls", "comp").join(classes.select("cls", "n", "bits"), "cls")
+    members = members.select("deal", "list", "lo", "hi", "side", "cls", "comp", "n", "bits").repartition(parts, "deal", "lo", "hi").sortWithinPartitions("list", "lo", "hi")
+    clusters = components(members.mapInArrow(_list_edges, "a long, b long"))
+    # Of a cluster every two sides of about BLOCK_SETS classes meet in a block, where whole sets decide.
+    s = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
+    sides = clusters.groupBy("component").agg(F.count("*").alias("m")).select("component", s.alias("s"))
+    near = clusters.withColumnRenamed("node", "cls").join(sides, "component").select("component", "cls", "s", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int").alias("side"))
+    near = near.select("component", "cls", "s", "side", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).where("s = 1 OR side <> other")
+    near = near.select(F.col("component").alias("key"), (F.least("side", "other") * F.col("s").cast("long") + F.greatest("side", "other")).alias("salt"), "cls")
+    more = linked(written(near.join(state.select("cls", "comp"), "cls").select("key", "salt", "cls", "comp"), "near-blocks"), "near-links")
     comp = state.select("cls", "comp")
     between = more.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
     merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))

@@ -1,55 +1,95 @@
 """A tree over token sets whose nodes hold the OR of their sets' bitmaps and the range of their sizes.
 
-The self-join walks pairs of nodes from the root down.  A pair is left out when no two
-of its sets can overlap enough: by their sizes, by the bits that both nodes have, or
-because all of their sets are already known to be connected.
+The self-join walks pairs of nodes from the root down, level by level.  A pair of nodes is
+left out when no two of its sets can overlap enough: by their sizes, by the bits that
+both nodes have, or because all of their sets are already known to be connected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-LEAF, FAN = 8, 8
+FAN = 8
+#: Bytes of bitmaps that one step of the walk compares at most.
+STEP_BYTES = 4 << 20
+
+
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` tokens: a power of two, ``n`` at least."""
+    return max(256, 1 << max(n - 1, 0).bit_length())
+
 
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    flags = np.zeros(width, bool)
+    flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
-class _Node:
-    __slots__ = ("bits", "high", "kids", "low", "rows", "slack")
 
-    def __init__(self, rows, kids, bits, low, high, slack):
-        self.rows, self.kids, self.bits, self.low, self.high, self.slack = rows, kids, bits, low, high, slack
+class BitmapTree:
+    """The tree by sizes, bitmaps of one width and known components; it gives the pairs that the bounds let through."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int = 75):
+        self.percent = percent
+        self.order = np.lexsort((bits[:, 0], size))
+        size, bits, comp = size[self.order], bits[self.order], comp[self.order]
+        slack = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        self.levels = [(bits, size, size, slack, comp, comp)]
+        while len(self.levels[-1][1]) > 1:
+            bits, low, high, slack, least, most = self.levels[-1]
+            at = np.arange(0, len(low), FAN)
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
+
+    def _able(self, level: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which node pairs may hold a link between two components."""
+        bits, low, high, slack, least, most = self.levels[level]
+        t = self.percent
+        # 100 * o >= t * (a + b - o), so (100 + t) * o >= t * (a + b).
+        need = t * (low[p] + low[q])
+        able = (100 * high[p] >= t * low[q]) & (100 * high[q] >= t * low[p]) & ((100 + t) * np.minimum(high[p], high[q]) >= need)
+        able &= (least[p] != most[p]) | (least[q] != most[q]) | (least[p] != least[q])
+        at = np.flatnonzero(able)
+        shared = np.bitwise_count(bits[p[at]] & bits[q[at]]).sum(1, dtype=np.int64) + np.minimum(slack[p[at]], slack[q[at]])
+        own = p[at] == q[at]
+        return at[own | ((100 + t) * shared >= need[at])]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs of sets, each once."""
+        if not len(self.order):
+            return
+        step = max(64, STEP_BYTES // (8 * self.levels[0][0].shape[1]))
+        start = np.zeros(1, np.int64)
+        stack = [(len(self.levels) - 1, start, start)]
+        while stack:
+            level, p, q = stack.pop()
+            if len(p) > step:
+                stack += [(level, p[i : i + step], q[i : i + step]) for i in range(0, len(p), step)][::-1]
+                continue
+            at = self._able(level, p, q)
+            p, q = p[at], q[at]
+            if not level:
+                apart = p != q
+                if apart.any():
+                    yield self.order[p[apart]], self.order[q[apart]]
+            elif len(p):
+                below = len(self.levels[level - 1][1])
+                a = np.repeat(p * FAN, FAN * FAN) + np.tile(np.repeat(np.arange(FAN), FAN), len(p))
+                b = np.repeat(q * FAN, FAN * FAN) + np.tile(np.tile(np.arange(FAN), FAN), len(p))
+                ok = (a < below) & (b < below) & (a <= b)
+                stack.append((level - 1, a[ok], b[ok]))
 
 
 class SignatureTree:
-    """``sets`` are sorted arrays of distinct 64-bit tokens; links are pairs with 100 * overlap >= percent * union."""
+    """``sets`` are sorted arrays of distinct 64-bit tokens; links are pairs with 100 * overlap >= percent * union.
+
+    Sets of one ``known`` name are connected from the start.
+    """
 
-    def __init__(self, sets: list[np.ndarray], percent: int = 75):
+    def __init__(self, sets: list[np.ndarray], percent: int = 75, known: list[int] | None = None):
         self.sets, self.percent = sets, percent
-        self.size = np.array([len(x) for x in sets], np.int64)
-        width = 256
-        while width < 4 * int(self.size.max(initial=1)) and width < 1 << 16:
-            width *= 2
-        self.parent = list(range(len(sets)))
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-        level = [self._leaf(order[i : i + LEAF], width) for i in range(0, len(order), LEAF)]
-        while len(level) > 1:
-            level = [self._join(level[i : i + FAN]) for i in range(0, len(level), FAN)]
-        self.root = level[0] if level else None
-
-    def _leaf(self, rows: list[int], width: int) -> _Node:
-        kids = []
-        for r in rows:
-            flags = np.zeros(width, bool)
-            flags[(self.sets[r] & np.uint64(width - 1)).astype(np.int64)] = True
-            n = int(self.size[r])
-            kids.append(_Node([r], [], np.packbits(flags).view(np.uint64), n, n, n - int(flags.sum())))
-        return self._join(kids)
-
-    @staticmethod
-    def _join(kids: list[_Node]) -> _Node:
-        if len(kids) == 1:
-            return kids[0]
-        bits = np.bitwise_or.reduce([k.bits for k in kids])
-        return _Node([r for k in kids for r in k.rows], kids, bits, min(k.low for k in kids), max(k.high for k in kids), max(k.slack for k in kids))
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(c, i) for i, c in enumerate(range(len(sets)) if known is None else known)]
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -57,22 +97,6 @@ class SignatureTree:
             i = self.parent[i]
         return i
 
-    def _hopeless(self, p: _Node, q: _Node) -> bool:
-        t = self.percent
-        if 100 * p.high < t * q.low or 100 * q.high < t * p.low:
-            return True
-        # 100 * o >= t * (a + b - o), so o >= t * (a + b) / (100 + t).
-        need = t * (p.low + q.low)
-        most = min(p.high, q.high)
-        if (100 + t) * most < need:
-            return True
-        shared = int(np.bitwise_count(p.bits & q.bits).sum()) + min(p.slack, q.slack)
-        return (100 + t) * min(most, shared) < need
-
-    def _connected(self, p: _Node, q: _Node) -> bool:
-        root = self.find(p.rows[0])
-        return all(self.find(r) == root for r in p.rows) and all(self.find(r) == root for r in q.rows)
-
     def similar(self, i: int, j: int) -> bool:
         a, b = self.sets[i], self.sets[j]
         if not len(a) or not len(b):
@@ -82,27 +106,15 @@ class SignatureTree:
         o = int((both[1:] == both[:-1]).sum())
         return 100 * o >= self.percent * (len(a) + len(b) - o)
 
-    def _visit(self, p: _Node, q: _Node) -> None:
-        stack = [(p, q)]
-        while stack:
-            p, q = stack.pop()
-            if p is not q and self._hopeless(p, q) or self._connected(p, q):
-                continue
-            if not p.kids and not q.kids:
-                i, j = p.rows[0], q.rows[0]
-                if i != j and self.similar(i, j):
-                    self.parent[max(self.find(i), self.find(j))] = min(self.find(i), self.find(j))
-            elif p is q:
-                kids = p.kids
-                stack += [(kids[a], kids[b]) for a in range(len(kids)) for b in range(len(kids) - 1, a, -1)]
-                stack += [(k, k) for k in kids]
-            elif p.kids and (not q.kids or len(p.rows) >= len(q.rows)):
-                stack += [(k, q) for k in p.kids]
-            else:
-                stack += [(p, k) for k in q.kids]
-
     def components(self) -> list[int]:
         """For each set the first set of its component; links inside a component are not all looked at."""
-        if self.root is not None:
-            self._visit(self.root, self.root)
+        size = np.array([len(x) for x in self.sets], np.int64)
+        if len(size):
+            width = min(1 << 16, 4 * width_of(int(size.max())))
+            bits = np.stack([bitmap(x, width) for x in self.sets])
+            for p, q in BitmapTree(size, bits, np.array(self.parent), self.percent).pairs():
+                for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                    a, b = self.find(i), self.find(j)
+                    if a != b and self.similar(i, j):
+                        self.parent[max(a, b)] = min(a, b)
         return [self.find(i) for i in range(len(self.sets))]
