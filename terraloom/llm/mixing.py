@@ -13,7 +13,10 @@ Everything follows from the seed, so reruns agree.
 
 The running word offset of a source is a sum over hashed buckets of the source plus a
 running sum inside a bucket, so a source with a third of all rows is spread as well.
-The driver holds one line for each source and the draws of each shard, never rows.
+A row is known by its offset, so the texts are dealt once to be cut and once more, as
+pieces, to their blocks, and never written besides.  The driver holds one line for each
+source and the counts of at most ``GROUPS`` groups of shards; the shards of a group
+are drawn in the executors.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .runtime import partitions, ship_by_value, written
 
-BLOCK, SHARD_SLOTS, SEED = 256, 4096, 20240917
+BLOCK, SHARD_SLOTS, GROUPS, SEED = 256, 4096, 1024, 20240917
+#: The table of sources is broadcast up to so many.
+BROADCAST_ROWS = 1 << 16
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,8 +58,15 @@ def targets(sizes: list[int]) -> list[float]:
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of 0..n-1: a Feistel network over the next even power of two, walked until inside."""
+def _round(half: np.ndarray, key: int, r: int) -> np.ndarray:
+    f = half * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 4 + r + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
+    f ^= f >> np.uint64(29)
+    f *= np.uint64(0xBF58476D1CE4E5B9)
+    return f ^ f >> np.uint64(32)
+
+
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A keyed permutation of 0..n-1, or ``back`` its inverse: a Feistel network over the next even power of two, walked until inside."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out = index.astype(np.uint64)
@@ -62,11 +74,10 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     while len(todo):
         left, right = out[todo] >> np.uint64(half), out[todo] & mask
         for r in range(4):
-            f = right * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 4 + r + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
-            f ^= f >> np.uint64(29)
-            f *= np.uint64(0xBF58476D1CE4E5B9)
-            f ^= f >> np.uint64(32)
-            left, right = right, left ^ (f & mask)
+            if back:
+                left, right = right ^ (_round(left, key, 3 - r) & mask), left
+            else:
+                left, right = right, left ^ (_round(right, key, r) & mask)
         out[todo] = left << np.uint64(half) | right
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
@@ -83,90 +94,92 @@ def slots_for(words: int, size: int, ix: int) -> tuple[int, int]:
     n, tail = -(-size // BLOCK), size - (size - 1) // BLOCK * BLOCK
     turn, rest = divmod(words, size)
     if not rest:
-        return turn * n, BLOCK
+        return turn * n, tail if int(permuted(np.array([n - 1]), n, _key(ix, turn - 1))[0]) == n - 1 else BLOCK
+    # The place of the short last block in this turn decides how many slots hold enough words.
+    place = int(permuted(np.array([n - 1]), n, _key(ix, turn), back=True)[0])
+    held = lambda m: m * BLOCK - (BLOCK - tail) * (place < m)
     k = -(-rest // BLOCK)
-    order = lambda m: permuted(np.arange(m), n, _key(ix, turn))
-    first = order(k)
-    have = k * BLOCK - (BLOCK - tail) * int((first == n - 1).any())
-    if have < rest:
-        k += 1
-        first = order(k)
-        have = k * BLOCK - (BLOCK - tail)
-    last = tail if first[-1] == n - 1 else BLOCK
-    return turn * n + k, last - (have - rest)
-
-
-def draws(slots: list[int]) -> list[list[int]]:
-    """Rows (shard, ix, first slot, count): a multinomial over the slots left, for one shard after the other."""
-    left, start, out, shard = np.array(slots, np.int64), np.zeros(len(slots), np.int64), [], 0
-    rng = np.random.Generator(np.random.PCG64(SEED))
+    k += held(k) < rest
+    last = tail if place == k - 1 else BLOCK
+    return turn * n + k, last - (held(k) - rest)
+
+
+def draws(slots: list[int], size: int, seed: int) -> list[tuple[list[int], list[int]]]:
+    """Parts of ``size`` slots, one after the other: by source the slots before and the count, a multinomial over the slots left."""
+    left, start, out = np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
+    rng = np.random.Generator(np.random.PCG64(seed))
     while left.sum():
-        open_, got = int(min(SHARD_SLOTS, left.sum())), np.zeros(len(slots), np.int64)
+        open_, got = int(min(size, left.sum())), np.zeros(len(slots), np.int64)
         while open_:
             room = left - got
             got += np.minimum(rng.multinomial(open_, room / room.sum()), room)
-            open_ = int(min(SHARD_SLOTS, left.sum()) - got.sum())
-        out += [[shard, int(i), int(start[i]), int(got[i])] for i in np.flatnonzero(got)]
-        start, left, shard = start + got, left - got, shard + 1
+            open_ = int(min(size, left.sum()) - got.sum())
+        out.append((start.tolist(), got.tolist()))
+        start, left = start + got, left - got
     return out
 
 
+def shard_groups(slots: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """At most ``GROUPS`` rows (first shard, first slots by source, counts by source), each of whole shards."""
+    each = max(1, -(-sum(slots) // (SHARD_SLOTS * GROUPS)))
+    return [(g * each, start, got) for g, (start, got) in enumerate(draws(slots, each * SHARD_SLOTS, SEED))]
+
+
 def _slot_rows(sources: dict[int, tuple[int, int, int]]):
     """sources: by index the size, the number of slots and the words kept of the last one."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ix, first, count, before, all_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size, total, keep_last = sources[ix]
-                n = -(-size // BLOCK)
-                slot = np.arange(first, first + count)
-                block = np.empty(count, np.int64)
-                for turn in np.unique(slot // n).tolist():
-                    own = slot // n == turn
-                    block[own] = permuted(slot[own] % n, n, _key(ix, turn))
-                place = permuted(np.arange(before, before + count), all_, SEED + shard)
-                keep = np.where(slot == total - 1, keep_last, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, ix, np.int32)), pa.array(block), pa.array(np.full(count, shard, np.int32)), pa.array(place), pa.array(keep)], schema=_SLOTS)
+            for shard0, base, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for shard, (start, got) in enumerate(draws(counts, SHARD_SLOTS, SEED + 1 + shard0), shard0):
+                    before, all_ = 0, sum(got)
+                    for ix in np.flatnonzero(got).tolist():
+                        size, total, keep_last = sources[ix]
+                        n, count = -(-size // BLOCK), got[ix]
+                        slot = base[ix] + start[ix] + np.arange(count)
+                        block = np.empty(count, np.int64)
+                        for turn in np.unique(slot // n).tolist():
+                            own = slot // n == turn
+                            block[own] = permuted(slot[own] % n, n, _key(ix, turn))
+                        place = permuted(np.arange(before, before + count), all_, SEED + shard)
+                        keep = np.where(slot == total - 1, keep_last, BLOCK)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(count, ix, np.int32)), pa.array(block), pa.array(np.full(count, shard, np.int32)), pa.array(place), pa.array(keep)], schema=_SLOTS)
+                        before += count
 
     return kernel
 
 
-def placed_draws(rows: list[list[int]]) -> list[list[int]]:
-    """The rows of :func:`draws` with the slots of the shard before theirs, and all of the shard."""
-    all_: dict[int, int] = {}
-    out = []
-    for shard, ix, first, n in rows:
-        out.append([shard, ix, first, n, all_.get(shard, 0)])
-        all_[shard] = all_.get(shard, 0) + n
-    return [[*r, all_[r[0]]] for r in out]
-
-
 def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The rows with sizes and targets, and the mix with its parts by row."""
     ship_by_value()
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    # The row ids must hold in both passes, so the texts are written with them.
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    kept = written(kept.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = written(kept.select("doc_id", "source", size.alias("size"), "rid"), "sizes")
+    mark, size = F.xxhash64("text").alias("mark"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    sizes = written(kept.select("doc_id", "source", mark, size.alias("size")), "sizes")
     of = {r[0]: r[1] for r in sizes.groupBy("source").agg(F.sum("size")).collect()}
     names = sorted((x for x in of if x is not None)) + [None] * (None in of)
     totals = [of[x] for x in names]
     goal = targets(totals)
     plan = {i: (totals[i], *slots_for(int(goal[i] + 0.5), totals[i], i)) for i in range(len(names))}
     table = spark.createDataFrame([(i, s, totals[i], goal[i]) for i, s in enumerate(names)], "ix int, source string, source_size long, target double")
-    dealt = spark.createDataFrame(placed_draws(draws([plan[i][1] for i in range(len(names))])), "shard int, ix int, first long, n long, before long, all long")
+    dealt = spark.createDataFrame(shard_groups([plan[i][1] for i in range(len(names))]), "shard0 int, base array<long>, counts array<long>")
     slots = dealt.repartition(n).mapInArrow(_slot_rows(plan), "ix int, block long, shard int, slot long, keep long")
 
-    known = sizes.join(table.select(F.col("source").alias("s"), "ix", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(4 * n))
-    spread = known.where("size > 0").withColumn("bucket", bucket)
-    sums = spread.groupBy("ix", "bucket").agg(F.sum("size").alias("words"))
-    base = sums.withColumn("base", F.sum("words").over(Window.partitionBy("ix").orderBy("bucket")) - F.col("words")).drop("words")
-    run = F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy("doc_id", "rid"))
-    at = spread.select("rid", "ix", "bucket", "size", run.alias("run")).join(base, ["ix", "bucket"])
-    at = at.select("rid", "ix", "size", (F.col("base") + F.col("run") - F.col("size")).alias("at"))
+    few = F.broadcast if len(names) <= BROADCAST_ROWS else lambda df: df
+
+    def with_source(rows: DataFrame) -> DataFrame:
+        return rows.join(few(table.select(F.col("source").alias("s"), "ix", "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+    bucket = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(4 * n)).alias("bucket")
+    known = with_source(sizes)
+    sums = known.where("size > 0").groupBy("ix", bucket).agg(F.sum("size").alias("words"))
+    base = sums.select(F.col("ix").alias("i"), F.col("bucket").alias("k"), (F.sum("words").over(Window.partitionBy("ix").orderBy("bucket")) - F.col("words")).alias("base"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows with words, and ``at``, their offset in the source; equal rows may change places."""
+        run = F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy("doc_id", "mark"))
+        run = rows.where("size > 0").withColumn("bucket", bucket).withColumn("run", run)
+        return run.join(base, (F.col("ix") == F.col("i")) & (F.col("bucket") == F.col("k"))).withColumn("at", F.col("base") + F.col("run") - F.col("size")).drop("base", "run", "bucket", "i", "k")
 
     blocks = F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")
     start = lambda b: F.greatest(F.col("at") - b * BLOCK, F.lit(0))
@@ -179,12 +192,14 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         return F.struct(b.alias("block"), start(b).alias("a"), end(b).alias("b"), F.array_join(own, " ").alias("words"))
 
     cut = F.get(F.transform(words, lambda w: F.transform(blocks, lambda b: part(w, b))), F.lit(0))
-    pieces = kept.select("rid", "doc_id", "text").join(at, "rid").select("rid", "doc_id", "ix", F.explode(cut).alias("p")).select("ix", "p.block", F.struct("p.a", "p.b", "rid", "doc_id", "p.words").alias("p"))
+    at = placed(with_source(kept.select("doc_id", "source", mark, size.alias("size"), "text")).drop("source_size", "target"))
+    pieces = at.select("doc_id", "ix", "at", F.explode(cut).alias("p")).select("ix", "p.block", F.struct("p.a", "p.b", "at", "doc_id", "p.words").alias("p"))
     whole = pieces.groupBy("ix", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
     filled = whole.join(slots.hint("merge"), ["ix", "block"])
     tokens = F.slice(F.split(F.array_join(F.col("p.words"), " "), " "), F.lit(1), F.col("keep").cast("int"))
-    parts = F.filter(F.transform("p", lambda x: F.struct(x["rid"].alias("rid"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("words"))), lambda x: x["words"] > 0)
-    return known, filled.select("shard", "slot", "ix", tokens.alias("tokens"), parts.alias("parts")).join(table.select("ix", "source"), "ix").select("shard", "slot", "source", "tokens", "parts")
+    parts = F.filter(F.transform("p", lambda x: F.struct(x["at"].alias("at"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("words"))), lambda x: x["words"] > 0)
+    known = placed(known).drop("mark").unionByName(known.where("size = 0").drop("mark").withColumn("at", F.lit(None).cast("long")))
+    return known, filled.select("shard", "slot", "ix", tokens.alias("tokens"), parts.alias("parts")).join(few(table.select("ix", "source")), "ix").select("shard", "slot", "source", "ix", "tokens", "parts")
 
 
 def mixed(docs: DataFrame, **columns: str) -> DataFrame:
@@ -192,7 +207,7 @@ def mixed(docs: DataFrame, **columns: str) -> DataFrame:
 
     A part is a run of the tokens that comes from one row: doc_id and the number of words.
     """
-    out = _mixed(docs, **columns)[1]
+    out = _mixed(docs, **columns)[1].drop("ix")
     return out.withColumn("parts", F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["words"].alias("words"))))
 
 
@@ -204,5 +219,5 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
     empty result.  Extra columns are not read.
     """
     known, slots = _mixed(docs, **columns)
-    taken = slots.select(F.explode("parts").alias("p")).groupBy("p.rid").agg(F.sum("p.words").alias("taken"))
-    return known.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = slots.select("ix", F.explode("parts").alias("p")).groupBy("ix", "p.at").agg(F.sum("p.words").alias("taken"))
+    return known.join(taken, ["ix", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

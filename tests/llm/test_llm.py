@@ -255,7 +255,27 @@ def test_mixing_targets_and_permutation():
     assert mixing.targets([100, 100, 100]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0.0, 15.0]
     for n in (1, 2, 7, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+        there = mixing.permuted(np.arange(n), n, 3)
+        assert sorted(there.tolist()) == list(range(n))
+        assert mixing.permuted(there, n, 3, back=True).tolist() == list(range(n))
+
+
+def test_mixing_slots_hold_the_words_asked_for(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(200):
+        size, ix = rng.randint(1, 4000), rng.randint(0, 9)
+        words, n = rng.randint(1, 2 * size), -(-size // mixing.BLOCK)
+        count, keep_last = mixing.slots_for(words, size, ix)
+        block = [int(mixing.permuted(np.array([j % n]), n, mixing._key(ix, j // n))[0]) for j in range(count)]
+        held = [size - b * mixing.BLOCK if b == n - 1 else mixing.BLOCK for b in block]
+        assert sum(held[:-1]) + min(held[-1], keep_last) == words
+    # Slots of groups and of shards use up exactly what is asked for, also with many groups.
+    monkeypatch.setattr(mixing, "GROUPS", 5)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 7)
+    slots = [100, 0, 33, 250]
+    groups = mixing.shard_groups(slots)
+    assert len(groups) <= 5 and np.sum([g[2] for g in groups], 0).tolist() == slots
+    assert all(sum(got) == 7 for _, _, counts in groups[:-1] for _, got in mixing.draws(counts, 7, 1))
 
 
 def test_line_dedup(spark, frame, texts, empty):
