@@ -5,7 +5,7 @@ Each view is given twice: as a DataFrame, and as the body of a DuckDB common tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .registry import table
@@ -28,12 +28,13 @@ def gauss_krueger(spark: SparkSession, d: str) -> DataFrame:
 
 INST_SQL = """inst AS (SELECT id, l_partkey AS mesh_id, x0, y0, z0, x0 + l_quantity * 4 AS x1, y0 + l_quantity * 20 AS y1, z0 + l_quantity AS z1 FROM (
   SELECT id, l_partkey, l_quantity, l_extendedprice / 5 + CASE WHEN id % 500 = 0 THEN 1000000 ELSE 0 END AS x0, CAST((l_partkey * 37) % 20000 AS DOUBLE) AS y0, l_tax * 1000 AS z0 FROM (
-    SELECT *, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id FROM lineitem)))"""
+    SELECT *, CAST((l_orderkey * 8 + l_linenumber) * 64 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS BIGINT) AS id FROM lineitem)))"""
 
 
 def instances(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes with an id from the order key and the line number; every 500th id is far away, as an outlier."""
-    rows = table(spark, d, "lineitem").withColumn("id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long"))
+    """Boxes with an id from the order key and the line number, which repeat; every 500th id is far away, as an outlier."""
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
+    rows = table(spark, d, "lineitem").withColumn("id", ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + again).cast("long"))
     x0 = F.col("l_extendedprice") / 5 + F.when(F.col("id") % 500 == 0, 1000000).otherwise(0)
     y0 = ((F.col("l_partkey") * 37) % 20000).cast("double")
     z0 = F.col("l_tax") * 1000
