@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is missing, as in local tests, a folder beside the
-    warehouse is used.
+    Only in local mode, as in tests, a folder beside the warehouse stands in for a missing setting.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_terraloom"
 
 
