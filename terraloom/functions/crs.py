@@ -93,12 +93,12 @@ def _from_ecef(df: DataFrame, crs: CRS) -> DataFrame:
         axes, at = _frame(crs.origin)
         d = (x - F.lit(at[0]), y - F.lit(at[1]), z - F.lit(at[2]))
         return df.withColumns({c: d[0] * F.lit(a[0]) + d[1] * F.lit(a[1]) + d[2] * F.lit(a[2]) for c, a in zip("xyz", axes, strict=True)})
-    df = G.with_geodetic(df, "x", "y", "z", crs.tm.ellipsoid if crs.tm else G.WGS84, "__la", "__lo", "__h")
+    df = G.with_geodetic(df, "x", "y", "z", crs.tm.ellipsoid if crs.tm else G.WGS84, "__la", "__lo", "__height")
     if crs.kind == "tm":
-        df = G.with_tm_forward(df, "__la", "__lo", crs.tm, "__east", "__north").withColumns({"x": F.col("__east"), "y": F.col("__north"), "z": F.col("__h")})
+        df = G.with_tm_forward(df, "__la", "__lo", crs.tm, "__east", "__north").withColumns({"x": F.col("__east"), "y": F.col("__north"), "z": F.col("__height")})
     else:
-        df = df.withColumns({"x": F.degrees("__lo"), "y": F.degrees("__la"), "z": F.col("__h")})
-    return df.drop("__la", "__lo", "__h", "__east", "__north")
+        df = df.withColumns({"x": F.degrees("__lo"), "y": F.degrees("__la"), "z": F.col("__height")})
+    return df.drop("__la", "__lo", "__height", "__east", "__north")
 
 
 def transformed(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 
 
@@ -14,7 +15,9 @@ def repaired(data: bytes) -> tuple[str, bool]:
     try:
         return data.decode("gb18030"), True
     except UnicodeDecodeError:
-        return data.decode("utf-8", "replace"), True
+        # The built-in handler gives one mark for a whole bad sequence.
+        codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+        return data.decode("utf-8", "each-byte"), True
 
 
 def ledger(data: bytes) -> tuple[list[str], list[tuple[str, list[tuple[str, bool]]]], int]:

@@ -38,18 +38,22 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Vertices are numbered by their place in the file.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("w"))
-    v = lines.where(F.col("w")[0] == "v")
-    # Numbers by partition: the count of the partitions before, and the place within.
-    part = F.shiftright("at", 33)
-    counts = v.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.sum("n").over(Window.orderBy("p")) - F.col("n")).select("p", "base")  # a row for each input partition
-    vertices = v.withColumn("p", part).join(F.broadcast(before), "p").withColumn("vid", F.col("base") + F.row_number().over(Window.partitionBy("p").orderBy("at")) - 1)
-    vertices = vertices.select("vid", *(F.col("w")[k + 1].cast("double").alias(n) for k, n in enumerate("xyz")))
-    corner = F.transform(F.slice("w", 2, F.size("w") - 1), lambda c: F.split(c, "/")[0].cast("long") - 1)
-    faces = lines.where(F.col("w")[0] == "f").select("at", corner.alias("c"))
-    fan = faces.select("at", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
-    return vertices, fan.select((F.col("at") * 64 + F.col("k")).alias("fid"), F.col("c")[0].alias("i0"), F.get("c", F.col("k")).alias("i1"), F.get("c", F.col("k") + 1).alias("i2"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split(F.trim("value"), r"\s+").alias("w")).where(F.col("w")[0].isin("v", "f"))
+    fans = F.greatest(F.size("w") - 3, F.lit(0))
+    lines = lines.select(F.shiftright("at", 33).alias("p"), "at", "w", (F.col("w")[0] == "v").cast("long").alias("v"), F.when(F.col("w")[0] == "f", fans).otherwise(0).alias("f"))
+    # Numbers by partition: the counts of the partitions before, and the place within.
+    counts = lines.groupBy("p").agg(F.sum("v").alias("v"), F.sum("f").alias("f"))
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("p", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "vf"))  # a row for each input partition
+    within = Window.partitionBy("p").orderBy("at")
+    numbered = lines.withColumns({"vn": F.sum("v").over(within), "fn": F.sum("f").over(within)}).join(F.broadcast(before), "p")
+    vertices = numbered.where("v = 1").select((F.col("v0") + F.col("vn") - 1).alias("vid"), *(F.col("w")[k + 1].cast("double").alias(n) for k, n in enumerate("xyz")))
+    # A negative number counts back from the last vertex before the face.
+    seen = F.col("v0") + F.col("vn")
+    corner = F.transform(F.slice("w", 2, F.size("w") - 1), lambda c: F.split(c, "/")[0].cast("long"))
+    faces = numbered.where("f > 0").select((F.col("f0") + F.col("fn") - F.col("f")).alias("f0"), F.transform(corner, lambda c: F.when(c < 0, seen + c).otherwise(c - 1)).alias("c"), "f")
+    fan = faces.select("f0", "c", F.explode(F.sequence(F.lit(1), F.col("f").cast("int"))).alias("k"))
+    return vertices, fan.select((F.col("f0") + F.col("k") - 1).alias("fid"), F.col("c")[0].alias("i0"), F.get("c", F.col("k")).alias("i1"), F.get("c", F.col("k") + 1).alias("i2"))
 
 
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d", 11: "f"}
