@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .labels import held_out, sampled_ids
+from .labels import held_out, sampled_ids, sampled_texts
 from .quality import platt
 from .runtime import ship_by_value
 
@@ -324,9 +324,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     usable = known.where(~held_out())
-    short = rows.where(F.length("text") <= SAMPLE_CHARS).select("doc_id").join(usable, "doc_id")
-    picked = sampled_ids(short.where("y = 1"), SAMPLE).unionByName(sampled_ids(short.where("y = 0"), 2 * SAMPLE))
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    usable = usable.join(rows.select("doc_id"), "doc_id", "left_semi")
+    picked = sampled_ids(usable.where("y = 1"), SAMPLE).unionByName(sampled_ids(usable.where("y = 0"), 2 * SAMPLE))
+    sample = sampled_texts(rows, picked, 3 * SAMPLE, SAMPLE_CHARS).select("text", "y").toArrow()
     model = train(sample.column("text").combine_chunks(), sample.column("y").to_numpy().astype(np.int64))
     scored = rows.mapInArrow(_score_rows(model), "doc_id long, score double, spans array<struct<start:int,end:int>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
