@@ -273,3 +273,38 @@ def gk_zone(code: Column) -> Column:
 def utm_zone(lon_deg: Column) -> Column:
     """UTM zone of a longitude in degrees, 1 to 60."""
     return F.least(F.greatest(F.floor((lon_deg + 180.0) / 6.0) + 1, F.lit(1)), F.lit(60)).cast("int")
+
+
+def with_tm_inverse(df: DataFrame, easting: str, northing: str, tm: TransverseMercator, lat: str = "lat", lon: str = "lon", steps: int = 8) -> DataFrame:
+    """Latitude and longitude (radians) by the second inverse: meridian arc to the eighth power, series to the sixth order.
+
+    The northing is taken as it is, without the scale and without an origin latitude; prefer
+    :func:`with_gk_inverse`.  Each step shrinks the error by the eccentricity squared, so
+    eight are beyond what doubles hold.
+    """
+    e = tm.ellipsoid
+    e2, e4, e6, e8 = (e.e2**k for k in (1, 2, 3, 4))
+    straight = e.a * (1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256 - 175 * e8 / 16384)
+    waves = (
+        -(3 * e2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024 + 105 * e8 / 4096),
+        15 * e4 / 256 + 45 * e6 / 1024 + 525 * e8 / 16384,
+        -(35 * e6 / 3072 + 175 * e8 / 12288),
+        315 * e8 / 131072,
+    )
+    df = df.withColumn("__s", (F.col(northing) - F.lit(tm.false_northing)) / F.lit(straight)).withColumn("__f", F.col("__s"))
+    for _ in range(steps):
+        bend = sum(F.sin(F.col("__f") * float(2 * k + 2)) * F.lit(e.a * w / straight) for k, w in enumerate(waves))
+        df = df.withColumn("__f", F.col("__s") - bend)
+    f = F.col("__f")
+    df = df.withColumns({"__t": F.tan(f) * F.tan(f), "__c": F.lit(e.ep2) * F.cos(f) * F.cos(f), "__n": prime_vertical(f, e)})
+    t, c = F.col("__t"), F.col("__c")
+    df = df.withColumn("__d", (F.col(easting) - F.lit(tm.false_easting)) / (F.col("__n") * F.lit(tm.k0)))
+    d2 = F.col("__d") * F.col("__d")
+    drop = d2 * (
+        F.lit(0.5)
+        - d2 * ((t * 3.0 + c - c * t * 9.0 - c * c * 4.0 + 5.0) / 24.0
+        - d2 * (t * 90.0 + t * t * 45.0 + c * 46.0 + c * t * 252.0 + c * c * 90.0 + c * c * t * t * 45.0 + 61.0) / 720.0)
+    )
+    away = F.lit(1.0) - d2 * ((t * 2.0 + c + 1.0) / 6.0 - d2 * (t * 28.0 + t * t * 24.0 + c * 6.0 + c * t * 8.0 + 5.0) / 120.0)
+    out = {lat: f - F.tan(f) * (c + 1.0) * drop, lon: F.lit(tm.lon0_deg * pi / 180) + F.col("__d") * away / F.cos(f)}
+    return df.withColumns(out).drop("__s", "__f", "__t", "__c", "__n", "__d")

@@ -122,3 +122,27 @@ def first_rule(names: DataFrame, rules: DataFrame) -> DataFrame:
         raise ValueError("more than 1000 rules")
     hit = F.coalesce(*(F.when(F.col("name").rlike(f"(?i)^(?:{r['pattern']})$"), F.lit(r["ord"])) for r in listed), F.lit(None).cast("int"))
     return names.withColumn("rule", hit)
+
+
+def without_nan(vertices: DataFrame, by: list[str], columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Vertices of the meshes none of whose coordinates is NaN or null."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | F.col(c).isNull() | F.isnan(c)
+    return vertices.join(vertices.where(bad).select(*by).distinct(), by, "left_anti")
+
+
+LEAST_VERTICES = 50
+
+
+def worth_a_tile(meshes: DataFrame, least: int = LEAST_VERTICES) -> DataFrame:
+    """Rows (n_vertices, n_indices) with indices and with at least ``least`` vertices."""
+    return meshes.where((F.col("n_indices") > 0) & (F.col("n_vertices") >= least))
+
+
+def neighbours(tri: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fid, other) of triangles that share an edge in opposite directions, once with the smaller fid first."""
+    sides = F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))))
+    edges = tri.select(*by, "fid", F.explode(sides).alias("e")).select(*by, "fid", "e.a", "e.b")
+    back = edges.select(*by, F.col("fid").alias("other"), F.col("b").alias("a"), F.col("a").alias("b"))
+    return edges.join(back, [*by, "a", "b"]).where("fid < other").select(*by, "fid", "other")

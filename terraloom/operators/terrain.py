@@ -110,3 +110,8 @@ def available_ranges(tiles: DataFrame) -> DataFrame:
 
 def tms(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("y", power2(F.col("level")) - 1 - F.col("y"))
+
+
+def tile_counts(tiles: DataFrame) -> DataFrame:
+    """(level, n) of tiles (level, x, y); a tile counts once."""
+    return tiles.select("level", "x", "y").distinct().groupBy("level").agg(F.count("*").alias("n"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import crs
+from ..functions import crs, geodesy
 from ..functions import matrices as M
 from ..functions.numeric import quantised
-from ..operators import scene
+from ..operators import extensions, scene
 from ..sources import sinks
 from . import fixtures as V
 from .function_queries import sql_ecef, sq
@@ -250,3 +250,35 @@ def relocated_textures(spark, d):
     path = F.concat(F.when(k % 2 == 0, "C:\\maps\\a\\").otherwise("maps/b/"), F.col("p_size").cast("string"), F.lit(".png"))
     name = F.concat(F.lit("m."), F.when(k % 3 == 0, "GLB").when(k % 3 == 1, "gltf").otherwise("obj"))
     return table(spark, d, "part").select(k.alias("id"), sinks.relocated(path, "out/").alias("path"), sinks.mesh_extension(name).alias("format"))
+
+
+# Extensions ------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'a/m.ifc' WHEN 1 THEN 'b.FBX' WHEN 2 THEN 'glTF2Exporter' WHEN 3 THEN 'c.obj' WHEN 4 THEN 'd.3ds' ELSE 'x.dae' END AS format,
+  CASE WHEN p_partkey % 6 = 0 THEN 'IfcWall_a_' || lpad(CAST(p_partkey AS VARCHAR), 9, 'k') WHEN p_partkey % 4 = 0 THEN '' ELSE 'n' || CAST(p_size AS VARCHAR) END AS node, CASE WHEN p_partkey % 5 = 0 THEN p_name END AS guid FROM part)
+SELECT id, CASE id % 6 WHEN 0 THEN regexp_extract(node, '_([^_]*)$', 1) WHEN 3 THEN nullif(node, '') WHEN 4 THEN coalesce(nullif(node, ''), 'mesh') ELSE coalesce(guid, nullif(node, '')) END AS object_id,
+  CASE WHEN id % 6 = 0 THEN 'name_tail' WHEN id % 6 IN (1, 2, 5) AND guid IS NOT NULL THEN 'metadata_key' WHEN node <> '' OR id % 6 = 4 THEN 'object_name' ELSE 'none' END AS id_source, CASE WHEN id % 6 = 0 THEN 'IfcWall' END AS object_class FROM o""")
+def ids_by_format(spark, d):
+    k = F.col("p_partkey")
+    form = F.get(F.array(*map(F.lit, ("a/m.ifc", "b.FBX", "glTF2Exporter", "c.obj", "d.3ds", "x.dae"))), (k % 6).cast("int"))
+    node = F.when(k % 6 == 0, F.concat(F.lit("IfcWall_a_"), F.lpad(k.cast("string"), 9, "k"))).when(k % 4 == 0, "").otherwise(F.concat(F.lit("n"), F.col("p_size").cast("string")))
+    props = F.array(F.struct(F.lit("Model.Guid").alias("key"), F.when(k % 5 == 0, F.col("p_name")).otherwise("").alias("value")))
+    objects = table(spark, d, "part").select(k.alias("id"), form.alias("format"), node.alias("node"), F.lit("mesh").alias("mesh"), props.alias("props"))
+    return extensions.bound_ids(objects, ("Guid",)).select("id", "object_id", "id_source", "object_class")
+
+
+@query(f"SELECT c_custkey AS id, {sq('30 + (c_custkey % 500) / 1000.0', '1e7')} AS lat, {sq('113 + (c_custkey % 2000) / 1000.0', '1e7')} AS lon FROM customer")
+def tm_second_inverse(spark, d):
+    """Forward and back by the second inverse."""
+    tm, k = geodesy.TransverseMercator(lon0_deg=114.0), F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.alias("id"), F.radians(k % 500 / 1000.0 + 30).alias("la"), F.radians(k % 2000 / 1000.0 + 113).alias("lo"))
+    out = geodesy.with_tm_inverse(geodesy.with_tm_forward(p, "la", "lo", tm), "easting", "northing", tm)
+    return out.select("id", quantised(F.degrees("lat"), 1e7).alias("lat"), quantised(F.degrees("lon"), 1e7).alias("lon"))
+
+
+@query(f"SELECT c_custkey AS id, {sq('c_acctbal * 2 + 5', '1e2')} AS x, {sq('(c_custkey % 90) - c_acctbal', '1e2')} AS y, {sq('1.5')} AS z FROM customer")
+def georeferencing_positions(spark, d):
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_custkey") % 90).cast("double").alias("y"), F.lit(9.0).alias("z"))
+    out = extensions.georeferencing("multi_position", matrix=[2.0, 0.0, 0.0, 5.0, -1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.5]).to_ecef(p)
+    return out.select("id", quantised(F.col("x"), 1e2).alias("x"), quantised(F.col("y"), 1e2).alias("y"), quantised(F.col("z")).alias("z"))

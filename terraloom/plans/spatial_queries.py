@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..functions.numeric import quantised
-from ..operators import binding, georef, hierarchy, octree
+from ..operators import binding, georef, hierarchy, mesh, octree
 from . import fixtures as V
 from .function_queries import sq
 from .lineage import written
@@ -133,7 +133,7 @@ def spatial_box_query(spark, d):
 def nan_instance_filter(spark, d):
     """A mesh with any NaN coordinate goes as a whole."""
     m = V.instances(spark, d).select("mesh_id", F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x0")).alias("x"))
-    return m.groupBy("mesh_id").agg(F.count("*").alias("n"), F.bool_or(F.isnan("x")).alias("bad")).where("NOT bad").drop("bad")
+    return mesh.without_nan(m, ["mesh_id"], ("x",)).groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
 # Binding ---------------------------------------------------------------------------------

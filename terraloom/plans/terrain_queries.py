@@ -27,10 +27,11 @@ def degenerate_triangles(spark, d):
     return mesh.valid_triangles(_triangles(spark, d), 8).groupBy("mesh").agg(F.count("*").alias("n"), F.sum("fid").alias("fids"))
 
 
-@query(f"WITH {_TRI_SQL} SELECT mesh, count(DISTINCT i0) + count(DISTINCT i1) AS n FROM tri GROUP BY mesh HAVING count(DISTINCT i0) + count(DISTINCT i1) >= 15")
+@query(f"WITH {_TRI_SQL}, m AS (SELECT mesh, count(DISTINCT fid) AS n_vertices, 3 * count(*) FILTER (WHERE mesh % 3 <> 0) AS n_indices FROM tri GROUP BY mesh) SELECT mesh, n_vertices FROM m WHERE n_indices > 0 AND n_vertices >= 50")
 def near_empty_tiles(spark, d):
-    """Meshes with enough vertices to be worth a tile."""
-    return _triangles(spark, d).groupBy("mesh").agg((F.count_distinct("i0") + F.count_distinct("i1")).alias("n")).where("n >= 15")
+    """Meshes with enough vertices to be worth a tile; every third has no index."""
+    m = _triangles(spark, d).groupBy("mesh").agg(F.count_distinct("fid").alias("n_vertices"), (F.count_if(F.col("mesh") % 3 != 0) * 3).alias("n_indices"))
+    return mesh.worth_a_tile(m).select("mesh", "n_vertices")
 
 
 _CROSS = "cr AS (SELECT gt.fid, i0, i1, i2, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS x, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS y, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS z FROM gt JOIN gv a ON a.vid = i0 JOIN gv b ON b.vid = i1 JOIN gv c ON c.vid = i2)"
@@ -163,10 +164,7 @@ def rule_first_match(spark, d):
 @query(f"WITH {_TRI_SQL}, e AS (SELECT mesh, fid, unnest([i0, i1, i2]) AS a, unnest([i1, i2, i0]) AS b FROM tri WHERE i0 <> i1 AND i1 <> i2 AND i0 <> i2) SELECT x.mesh, count(*) AS pairs FROM e x JOIN e y ON x.mesh = y.mesh AND x.a = y.b AND x.b = y.a AND x.fid < y.fid GROUP BY 1")
 def neighbour_triangles(spark, d):
     """Pairs of triangles that share an edge in opposite directions."""
-    t = mesh.valid_triangles(_triangles(spark, d), 1 << 30)
-    e = t.select("mesh", "fid", F.explode(F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))))).alias("e")).select("mesh", "fid", "e.a", "e.b")
-    o = e.select("mesh", F.col("fid").alias("other"), F.col("b").alias("a"), F.col("a").alias("b"))
-    return e.join(o, ["mesh", "a", "b"]).where("fid < other").groupBy("mesh").agg(F.count("*").alias("pairs"))
+    return mesh.neighbours(mesh.valid_triangles(_triangles(spark, d), 1 << 30), ["mesh"]).groupBy("mesh").agg(F.count("*").alias("pairs"))
 
 
 # Rasters and pyramids --------------------------------------------------------------------
@@ -268,7 +266,7 @@ def available_ranges(spark, d):
 
 @query("SELECT CAST(l_linenumber AS INTEGER) AS level, count(*) AS n FROM (SELECT DISTINCT l_linenumber, floor(l_quantity), l_suppkey FROM lineitem) GROUP BY 1")
 def tile_counts_by_zoom(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("level"), F.floor("l_quantity").alias("x"), "l_suppkey").distinct().groupBy("level").agg(F.count("*").alias("n"))
+    return terrain.tile_counts(table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("level"), F.floor("l_quantity").alias("x"), F.col("l_suppkey").alias("y")))
 
 
 @query("SELECT 8 AS level, x, y FROM range(212, 214) a(x), range(150, 153) b(y)")
