@@ -41,6 +41,8 @@ from .signature_tree import BitmapTree, SignatureTree, bitmap, width_of
 SHINGLE, PERCENT = 5, 75
 KEYS, BLOCK_SETS = 4, 200
 LIST_BLOCK, SHORT_LIST = 2000, 64
+#: Tokens that a kernel holds before it sends what it has gathered.
+HELD = 1 << 20
 FREQUENT, FREQUENT_MOST = 16, 1 << 20
 BROADCAST_ROWS = 1 << 20
 _SEEDS = np.array([0, 0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -91,6 +93,16 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: list[np.ndarray] = []
         known: set[int] = set()
+
+        def repeated() -> Iterator[pa.RecordBatch]:
+            if not seen:
+                return
+            token, count = np.unique(np.concatenate(seen), return_counts=True)
+            seen.clear()
+            token, count = token[count > 1], count[count > 1]
+            zero = pa.array(np.zeros(len(token), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), pa.array(token.view(np.int64)), pa.array(count), zero, *[zero] * KEYS, pa.nulls(len(token), pa.binary())], schema=_DOCS)
+
         for i, j, raw, off in T.rows(batch.column(1)):
             tokens, soff = shingle_sets(raw, off)
             n = np.diff(soff)
@@ -106,11 +118,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.append(tokens[soff[d] : soff[d + 1]])
             body = pa.array([_own_bitmap(tokens[x:y]) for x, y in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], pa.array(n), pa.array(cls.view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), body], schema=_DOCS)
-        if seen:
-            token, count = np.unique(np.concatenate(seen), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            zero = pa.array(np.zeros(len(token), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), pa.array(token.view(np.int64)), pa.array(count), zero, *[zero] * KEYS, pa.nulls(len(token), pa.binary())], schema=_DOCS)
+            if sum(map(len, seen)) >= HELD:
+                yield from repeated()
+        yield from repeated()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +168,18 @@ def _postings(frequent, parts: int):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(frequent.value, np.uint64)
+        def packed(token: list[np.ndarray], owner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not token:
+                return
+            t, c = np.concatenate(token), np.concatenate(owner)
+            token.clear()
+            owner.clear()
+            part = (t % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            t, c, cut = t[order], c[order], np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([t[cut[p] : cut[p + 1]].tobytes() for p in rows], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in rows], pa.binary())], names=["part", "tokens", "classes"])
+
         for batch in batches:
             token, owner, known = [], [], set()
             for _, _, raw, off in T.rows(batch.column(0)):
@@ -177,14 +199,9 @@ def _postings(frequent, parts: int):
                 keep = fresh[doc] & (np.arange(len(doc)) - soff[doc] < prefix_length(n)[doc])
                 token.append(tokens[keep])
                 owner.append(cls[doc[keep]])
-            if not token:
-                continue
-            t, c = np.concatenate(token), np.concatenate(owner)
-            part = (t % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            t, c, cut = t[order], c[order], np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([t[cut[p] : cut[p + 1]].tobytes() for p in rows], pa.binary()), pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in rows], pa.binary())], names=["part", "tokens", "classes"])
+                if sum(map(len, token)) >= HELD:
+                    yield from packed(token, owner)
+            yield from packed(token, owner)
 
     return kernel
 

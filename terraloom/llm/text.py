@@ -6,6 +6,8 @@ chunk of its own), so that memory follows the longest document, never the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,16 +68,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; null counts as empty."""
+    """UTF-8 bytes and offsets of a string column, without a copy of the bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, off, data = column.buffers()
+        offsets = np.frombuffer(off, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+    raw, offsets = parts(column)
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        raw, offsets = parts(pc.fill_null(column, ""))
     return raw, offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are reused, and what they keep adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding about ``size`` bytes each."""
     i, n = 0, len(offsets) - 1
@@ -91,6 +109,7 @@ def rows(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nda
     raw, offsets = buffers(column)
     for i, j in chunks(offsets, size):
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    give_back()
 
 
 def words(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
