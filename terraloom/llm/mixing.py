@@ -13,19 +13,21 @@ Everything follows from the seed, so reruns agree.
 
 The running word offset of a source is a sum over hashed buckets of the source plus a
 running sum inside a bucket, so a source with a third of all rows is spread as well.
-A row is known by its offset, so the texts are dealt once to be cut and once more, as
-pieces, to their blocks, and never written besides.  The driver holds one line for each
+A row is known by its offset.  The texts are dealt once, to the buckets of their source;
+there they are cut into blocks, and the slots, which are short rows, come to them.  A
+block over several buckets is filled by each of them in part.  The driver holds one line for each
 source and the counts of at most ``GROUPS`` groups of shards; the shards of a group
 are drawn in the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import partitions, ship_by_value, written
@@ -149,8 +151,20 @@ def _slot_rows(sources: dict[int, tuple[int, int, int]]):
     return kernel
 
 
-def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """The rows with sizes and targets, and the mix with its parts by row."""
+@contextmanager
+def together(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within may keep a side that is dealt by some of their keys where it is, and deal only the other."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, Callable, Callable]:
+    """The rows with sizes and targets, the names of sources, what fills the slots, and whether a bucket holds a block."""
     ship_by_value()
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
@@ -172,16 +186,20 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     bucket = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(4 * n)).alias("bucket")
     known = with_source(sizes)
-    sums = known.where("size > 0").groupBy("ix", bucket).agg(F.sum("size").alias("words"))
-    base = sums.select(F.col("ix").alias("i"), F.col("bucket").alias("k"), (F.sum("words").over(Window.partitionBy("ix").orderBy("bucket")) - F.col("words")).alias("base"))
+    sums = known.where("size > 0").groupBy("ix", "source_size", bucket).agg(F.sum("size").alias("words"))
+    until = F.sum("words").over(Window.partitionBy("ix").orderBy("bucket"))
+    base = sums.select(F.col("ix").alias("i"), F.col("bucket").alias("k"), (until - F.col("words")).alias("base"), until.alias("until"), F.col("source_size").alias("all"))
 
     def placed(rows: DataFrame) -> DataFrame:
         """Rows with words, and ``at``, their offset in the source; equal rows may change places."""
         run = F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
         run = rows.where("size > 0").withColumn("bucket", bucket).withColumn("run", run)
-        return run.join(base, (F.col("ix") == F.col("i")) & (F.col("bucket") == F.col("k"))).withColumn("at", F.col("base") + F.col("run") - F.col("size")).drop("base", "run", "bucket", "i", "k")
+        return run.join(base, (F.col("ix") == F.col("i")) & (F.col("bucket") == F.col("k"))).withColumn("at", F.col("base") + F.col("run") - F.col("size")).drop("run", "i", "k")
+
+    def inside(b: Column) -> Column:
+        """Whether a bucket holds the whole of block ``b``."""
+        return (b * BLOCK >= F.col("base")) & (F.least((b + 1) * BLOCK, F.col("all")) <= F.col("until"))
 
-    blocks = F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")
     start = lambda b: F.greatest(F.col("at") - b * BLOCK, F.lit(0))
     end = lambda b: F.least(F.col("at") + F.col("size") - b * BLOCK, F.lit(BLOCK))
     # The words are bound once for all blocks of a text.
@@ -191,24 +209,37 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         own = F.slice(w, (b * BLOCK + start(b) - F.col("at") + 1).cast("int"), (end(b) - start(b)).cast("int"))
         return F.struct(b.alias("block"), start(b).alias("a"), end(b).alias("b"), F.array_join(own, " ").alias("words"))
 
-    cut = F.get(F.transform(words, lambda w: F.transform(blocks, lambda b: part(w, b))), F.lit(0))
+    cut = F.get(F.transform(words, lambda w: F.transform("blocks", lambda b: part(w, b))), F.lit(0))
     at = placed(with_source(kept.select("doc_id", "source", mark, size.alias("size"), "text")).drop("source_size", "target"))
-    pieces = at.select("doc_id", "ix", "at", F.explode(cut).alias("p")).select("ix", "p.block", F.struct("p.a", "p.b", "at", "doc_id", "p.words").alias("p"))
-    whole = pieces.groupBy("ix", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    filled = whole.join(slots.hint("merge"), ["ix", "block"])
-    tokens = F.slice(F.split(F.array_join(F.col("p.words"), " "), " "), F.lit(1), F.col("keep").cast("int"))
-    parts = F.filter(F.transform("p", lambda x: F.struct(x["at"].alias("at"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("words"))), lambda x: x["words"] > 0)
-    known = placed(known).drop("mark").unionByName(known.where("size = 0").drop("mark").withColumn("at", F.lit(None).cast("long")))
-    return known, filled.select("shard", "slot", "ix", tokens.alias("tokens"), parts.alias("parts")).join(few(table.select("ix", "source")), "ix").select("shard", "slot", "source", "ix", "tokens", "parts")
+    blocks = F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")
+
+    def filled(wanted: Callable[[Column], Column]) -> DataFrame:
+        """(shard, slot, ix, p): what one bucket holds of a slot, of the ``wanted`` blocks of a bucket."""
+        rows = at.withColumn("blocks", F.filter(blocks, wanted)).where(F.size("blocks") > 0)
+        pieces = rows.select("doc_id", "ix", "bucket", "at", F.explode(cut).alias("p")).select("ix", "bucket", "p.block", F.struct("p.a", "p.b", "at", "doc_id", "p.words").alias("p"))
+        # The rows of a bucket lie together, so neither this nor, if `together`, the join moves a text again.
+        whole = pieces.groupBy("ix", "bucket", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        of = base.withColumn("b", F.explode(F.expr(f"sequence(base div {BLOCK}, (until - 1) div {BLOCK})"))).where(wanted(F.col("b")))
+        asked = slots.join(of.select(F.col("i").alias("ix"), F.col("b").alias("block"), F.col("k").alias("bucket")), ["ix", "block"])
+        out = whole.join(asked.hint("merge"), ["ix", "bucket", "block"])
+        got = F.transform("p", lambda x: F.struct(x["a"].alias("a"), x["at"].alias("at"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("n"), x["words"].alias("words")))
+        return out.select("shard", "slot", "ix", F.filter(got, lambda x: x["n"] > 0).alias("p")).where(F.size("p") > 0)
+
+    known = placed(known).drop("mark", "bucket", "base", "until", "all").unionByName(known.where("size = 0").drop("mark").withColumn("at", F.lit(None).cast("long")))
+    return known, few(table.select("ix", "source")), filled, inside
 
 
 def mixed(docs: DataFrame, **columns: str) -> DataFrame:
     """The mix: a row for each slot, with shard, slot (from 0 in its shard), source, tokens (its words) and parts.
 
     A part is a run of the tokens that comes from one row: doc_id and the number of words.
+    Slots whose block lies in several buckets are put together by a shuffle of their own.
     """
-    out = _mixed(docs, **columns)[1].drop("ix")
-    return out.withColumn("parts", F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["words"].alias("words"))))
+    _, names, filled, inside = _mixed(docs, **columns)
+    pieced = filled(lambda b: ~inside(b)).groupBy("shard", "slot", "ix").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+    out = filled(inside).unionByName(pieced).join(names, "ix")
+    tokens = F.flatten(F.transform("p", lambda x: F.slice(F.split(x["words"], " "), F.lit(1), x["n"].cast("int"))))
+    return out.select("shard", "slot", "source", tokens.alias("tokens"), F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n"].alias("words"))).alias("parts"))
 
 
 def mix(docs: DataFrame, **columns: str) -> DataFrame:
@@ -218,6 +249,8 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
     after all others.  Repeated doc_ids are separate rows.  An empty table gives an
     empty result.  Extra columns are not read.
     """
-    known, slots = _mixed(docs, **columns)
-    taken = slots.select("ix", F.explode("parts").alias("p")).groupBy("ix", "p.at").agg(F.sum("p.words").alias("taken"))
+    known, _, filled, _ = _mixed(docs, **columns)
+    taken = filled(lambda b: F.lit(True)).select("ix", F.explode("p").alias("p")).groupBy("ix", "p.at").agg(F.sum("p.n").alias("taken"))
+    with together(docs.sparkSession):
+        taken = written(taken, "taken")
     return known.join(taken, ["ix", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
