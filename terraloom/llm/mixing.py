@@ -193,7 +193,8 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     def placed(rows: DataFrame) -> DataFrame:
         """Rows with words, and ``at``, their offset in the source; equal rows may change places."""
         run = F.sum("size").over(Window.partitionBy("ix", "bucket").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
-        run = rows.where("size > 0").withColumn("bucket", bucket).withColumn("run", run)
+        # Rows without words go after the window: before it, the words would be counted once more.
+        run = rows.withColumn("bucket", bucket).withColumn("run", run).where("size > 0")
         return run.join(base, (F.col("ix") == F.col("i")) & (F.col("bucket") == F.col("k"))).withColumn("at", F.col("base") + F.col("run") - F.col("size")).drop("run", "i", "k")
 
     def inside(b: Column) -> Column:
