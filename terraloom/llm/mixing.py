@@ -221,7 +221,7 @@ def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         # The rows of a bucket lie together, so neither this nor, if `together`, the join moves a text again.
         whole = pieces.groupBy("ix", "bucket", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
         of = base.withColumn("b", F.explode(F.expr(f"sequence(base div {BLOCK}, (until - 1) div {BLOCK})"))).where(wanted(F.col("b")))
-        asked = slots.join(of.select(F.col("i").alias("ix"), F.col("b").alias("block"), F.col("k").alias("bucket")), ["ix", "block"])
+        asked = slots.hint("merge").join(of.select(F.col("i").alias("ix"), F.col("b").alias("block"), F.col("k").alias("bucket")), ["ix", "block"])
         out = whole.join(asked.hint("merge"), ["ix", "bucket", "block"])
         got = F.transform("p", lambda x: F.struct(x["a"].alias("a"), x["at"].alias("at"), x["doc_id"].alias("doc_id"), (F.least(x["b"], F.col("keep")) - x["a"]).alias("n"), x["words"].alias("words")))
         return out.select("shard", "slot", "ix", F.filter(got, lambda x: x["n"] > 0).alias("p")).where(F.size("p") > 0)
