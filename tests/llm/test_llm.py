@@ -324,6 +324,27 @@ def test_line_dedup(spark, frame, texts, empty):
     assert line_dedup.line_dedup_report(empty).count() == 0
 
 
+def test_line_signatures_of_lines_of_any_length(spark):
+    rng = random.Random(11)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    # Most words alike, so that one count nears the number of words: beyond 15 and 16 bits in the last lines.
+    lines = [" ".join("a" if rng.random() < 0.9 else rng.choice(some) for _ in range(n)) for n in (1, 2, 300, 40000, 66000, 80000)]
+    lines += ["a " * 32766 + "a", "a " * 32767 + "a", "a " * 65535 + "a"]
+    want = []
+    for line in lines:
+        words = line.split(" ")
+        ones = [0] * 64
+        for w, m in collections.Counter(words).items():
+            h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+            ones = [c + m * (h >> b & 1) for b, c in enumerate(ones)]
+        want.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(words)))
+    df = spark.createDataFrame(list(enumerate(lines)) + [(3, lines[3])], "line long, norm string")
+    got = line_dedup.signatures(df, True).collect()
+    assert len(got) == len(lines)
+    assert {r.line: r.simhash % (1 << 64) for r in got} == dict(enumerate(want))
+    assert all((r.pair_keys is not None) == (len(lines[r.line]) >= 54) for r in got)
+
+
 def test_line_dedup_links_by_edit_similarity_alone(spark, empty):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
