@@ -1,6 +1,6 @@
 """Coordinate systems by name, and the way from one to another through ECEF.
 
-Known are EPSG:4326 and 4979 (degrees, longitude first), EPSG:4978, EPSG:4513 to 4554
+Known are EPSG:4326 and 4979 (degrees, longitude first), 4490 and 4480 (the same of CGCS2000), EPSG:4978, EPSG:4513 to 4554
 (3-degree Gauss-Krueger), EPSG:32601 to 32660 and 32701 to 32760 (UTM), and
 ``ENU:lat,lon[,h]``.  Any other name is an error.
 """
@@ -22,6 +22,7 @@ class CRS:
     kind: str
     tm: G.TransverseMercator | None = None
     origin: tuple[float, float, float] | None = None
+    ellipsoid: G.Ellipsoid = G.WGS84
 
 
 def parsed(spec: str) -> CRS:
@@ -39,6 +40,8 @@ def parsed(spec: str) -> CRS:
     code = int(text[5:])
     if code in (4326, 4979):
         return CRS("geographic")
+    if code in (4480, 4490):
+        return CRS("geographic", ellipsoid=G.CGCS2000)
     if code == 4978:
         return CRS("ecef")
     if 4513 <= code <= 4533 or 4534 <= code <= 4554:
@@ -81,7 +84,7 @@ def _to_ecef(df: DataFrame, crs: CRS) -> DataFrame:
         df = G.with_gk_inverse(df, "x", "y", crs.tm, "__la", "__lo")
         out = G.ecef(F.col("__la"), F.col("__lo"), z, crs.tm.ellipsoid)
     else:
-        out = G.ecef(F.radians(y), F.radians(x), z, G.WGS84)
+        out = G.ecef(F.radians(y), F.radians(x), z, crs.ellipsoid)
     return df.withColumns(dict(zip(("__x", "__y", "__z"), out, strict=True))).withColumns({c: F.col(f"__{c}") for c in "xyz"}).drop("__x", "__y", "__z", "__la", "__lo")
 
 
@@ -93,7 +96,7 @@ def _from_ecef(df: DataFrame, crs: CRS) -> DataFrame:
         axes, at = _frame(crs.origin)
         d = (x - F.lit(at[0]), y - F.lit(at[1]), z - F.lit(at[2]))
         return df.withColumns({c: d[0] * F.lit(a[0]) + d[1] * F.lit(a[1]) + d[2] * F.lit(a[2]) for c, a in zip("xyz", axes, strict=True)})
-    df = G.with_geodetic(df, "x", "y", "z", crs.tm.ellipsoid if crs.tm else G.WGS84, "__la", "__lo", "__height")
+    df = G.with_geodetic(df, "x", "y", "z", crs.tm.ellipsoid if crs.tm else crs.ellipsoid, "__la", "__lo", "__height")
     if crs.kind == "tm":
         df = G.with_tm_forward(df, "__la", "__lo", crs.tm, "__east", "__north").withColumns({"x": F.col("__east"), "y": F.col("__north"), "z": F.col("__height")})
     else:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from math import cos, pi, radians
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.functions import frames, geodesy, strings, tiles
+from terraloom.functions import crs, frames, geodesy, strings, tiles
+from terraloom.plans import catalogue
 
 
 def value(spark, column):
@@ -105,3 +107,22 @@ def test_strip(spark):
 @pytest.mark.parametrize(("source", "kind"), [("/data/ifc_archive/model.fbx", "fbx"), ("ifc_export.glb", "gltf2"), ("IfcImporter", "ifc"), ("unknown", "generic")])
 def test_format(spark, source, kind):
     assert value(spark, strings.normalised_format(F.lit(source))) == kind
+
+
+def test_ellipsoid_of_geographic_systems(spark):
+    """EPSG:4326 is on WGS84, EPSG:4490 on CGCS2000: 0.1 mm at the pole, and each comes back by its own."""
+    row = spark.createDataFrame([(114.0, 60.0, 20.0)], "x double, y double, z double")
+    for code, e in ((4326, geodesy.WGS84), (4490, geodesy.CGCS2000)):
+        there = crs.transformed(row, f"EPSG:{code}", "EPSG:4978")
+        want = spark.range(1).select(*geodesy.ecef(F.lit(radians(60.0)), F.lit(radians(114.0)), F.lit(20.0), e)).first()
+        assert max(abs(a - b) for a, b in zip(there.first(), want, strict=True)) < 1e-8
+        assert max(abs(a - b) for a, b in zip(crs.transformed(there, "EPSG:4978", f"EPSG:{code}").first(), (114.0, 60.0, 20.0), strict=True)) < 1e-8
+
+
+def test_local_points_near_half_a_metre(spark, tmp_path):
+    """Customers whose northing or height lies within 0.1 mm of a half."""
+    spark.createDataFrame([(k, 4, h) for k, h in ((5353, 1708.68), (6074, 4949.42), (18261, 6547.83), (21090, -536.94))], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(con.sql(catalogue.ORACLE["crs_to_local"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["crs_to_local"](spark, str(tmp_path)).collect())) == want
