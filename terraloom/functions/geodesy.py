@@ -7,6 +7,7 @@ number of steps, which converge far below the metre scale for any latitude.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
 from math import pi
 
 from pyspark.sql import Column, DataFrame
@@ -193,6 +194,10 @@ class Helmert:
         x, y, z = self.rx * s, self.ry * s, self.rz * s
         return [[1, z, -y], [-z, 1, x], [y, -x, 1]]
 
+    def exact(self) -> list[list[Fraction]]:
+        """The matrix times the scale, without rounding."""
+        return [[Fraction(self.scale) * Fraction(c) for c in row] for row in self.matrix()]
+
     @property
     def scale(self) -> float:
         return 1 + self.ppm * 1e-6
@@ -202,15 +207,37 @@ class Helmert:
         return not any((self.tx, self.ty, self.tz, self.rx, self.ry, self.rz, self.ppm))
 
 
+def _inverted(m: list[list[Fraction]]) -> list[list[Fraction]]:
+    """Inverse of a 3x3 matrix by its cofactors."""
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = sum(m[0][j] * minor(0, j) for j in range(3))
+    return [[minor(j, i) / det for j in range(3)] for i in range(3)]
+
+
 def helmert(x: Column, y: Column, z: Column, p: Helmert) -> list[Column]:
     v, t = (x, y, z), (p.tx, p.ty, p.tz)
     return [F.lit(t[i]) + F.lit(p.scale) * (v[0] * F.lit(float(r[0])) + v[1] * F.lit(float(r[1])) + v[2] * F.lit(float(r[2]))) for i, r in enumerate(p.matrix())]
 
 
-def helmert_inverse(x: Column, y: Column, z: Column, p: Helmert) -> list[Column]:
-    r = p.matrix()
-    v = (x - F.lit(p.tx), y - F.lit(p.ty), z - F.lit(p.tz))
-    return [(v[0] * F.lit(float(r[0][j])) + v[1] * F.lit(float(r[1][j])) + v[2] * F.lit(float(r[2][j]))) / F.lit(p.scale) for j in range(3)]
+def _shift(v: tuple[Column, ...], m: list[list[Fraction]]) -> list[Column]:
+    """What ``m`` adds to ``v``: the terms of ``m`` less the unit matrix, metres where the coordinates are thousands of kilometres."""
+    less = [[float(c - (i == j)) for j, c in enumerate(row)] for i, row in enumerate(m)]
+    return [v[0] * F.lit(r[0]) + v[1] * F.lit(r[1]) + v[2] * F.lit(r[2]) for r in less]
+
+
+def helmert_rest(x: Column, y: Column, z: Column, moved: list[Column], p: Helmert) -> list[Column]:
+    """What rounding to doubles took from ``moved``, the :func:`helmert` of x, y, z."""
+    v, t = (x, y, z), (p.tx, p.ty, p.tz)
+    return [(v[i] - moved[i]) + (F.lit(t[i]) + w) for i, w in enumerate(_shift(v, p.exact()))]
+
+
+def helmert_inverse(x: Column, y: Column, z: Column, p: Helmert, rest: list[Column] | None = None) -> list[Column]:
+    """The way back by the inverse of the matrix; with :func:`helmert_rest` it gives the doubles that went in."""
+    t = (p.tx, p.ty, p.tz)
+    v = (x, y, z)
+    rest = rest or [F.lit(0.0)] * 3
+    back = _shift(tuple(c - F.lit(k) for c, k in zip(v, t, strict=True)), _inverted(p.exact()))
+    return [v[i] + (rest[i] - F.lit(t[i]) + w) for i, w in enumerate(back)]
 
 
 def with_seven_parameters(df: DataFrame, easting: str, northing: str, h: str, tm: TransverseMercator, p: Helmert, target: Ellipsoid = WGS84) -> DataFrame:
