@@ -89,9 +89,25 @@ def edge_lists(vertices: DataFrame, by: list[str], side: int = 32767) -> DataFra
     return vertices.groupBy(*by).agg(edge(u == 0, v).alias("west"), edge(v == 0, u).alias("south"), edge(u == side, -v).alias("east"), edge(v == side, -u).alias("north"))
 
 
+def exact_mean(x: F.Column) -> F.Column:
+    """Mean of doubles, rounded once, so that the order of the rows makes no difference.
+
+    Whole numbers of 2^-4, 2^-28 and 2^-52 are summed apart, which leaves out what a value has
+    below 2^-52.  Where a value is 2^39 or more, or not a number, it is the usual mean.
+    """
+    units = F.floor(F.when(F.abs(x) < float(1 << 39), x) * 16.0)
+    rest = (x - units / F.lit(16.0)) * float(1 << 28)
+    low = (rest - F.floor(rest)) * float(1 << 24)
+    wide = lambda c: F.sum(F.floor(c)).cast("decimal(38,0)")
+    shift = F.lit(1 << 24).cast("decimal(9,0)")
+    total = (wide(units) * shift + wide(rest)).cast("decimal(38,0)") * shift + wide(low)
+    mean = (total.cast("decimal(38,0)") / F.count(x).cast("decimal(19,0)")).cast("double") / float(1 << 52)
+    return F.when(F.max(F.abs(x)) < float(1 << 39), mean).otherwise(F.avg(x))
+
+
 def bounding_sphere(vertices: DataFrame, by: list[str]) -> DataFrame:
     """(by, cx, cy, cz, radius): mean of the vertices; the largest distance with a margin for quantisation."""
-    mean = vertices.groupBy(*by).agg(*(F.avg(k).alias(f"c{k}") for k in "xyz"), F.greatest(*((F.max(k) - F.min(k)) for k in "xyz")).alias("__range"))
+    mean = vertices.groupBy(*by).agg(*(exact_mean(F.col(k).cast("double")).alias(f"c{k}") for k in "xyz"), F.greatest(*((F.max(k) - F.min(k)) for k in "xyz")).alias("__range"))
     d2 = sum(((F.col(k) - F.col(f"c{k}")) ** 2 for k in "xyz"), F.lit(0.0))
     far = vertices.join(mean, by).groupBy(*by).agg(F.max(F.sqrt(d2)).alias("__far"), *(F.first(c).alias(c) for c in ("cx", "cy", "cz", "__range")))
     return far.select(*by, "cx", "cy", "cz", (F.col("__far") + F.greatest(F.lit(1e-3), F.col("__range") / 65534)).alias("radius"))
