@@ -55,23 +55,30 @@ class RunIndex:
         symbol[inner] = raw.astype(np.int64) + m
         symbol[self.end] = np.arange(m)
         self.window = window
-        rank = symbol
-        sa = np.argsort(rank, kind="stable")
-        reach, deep = 1, {1: rank}
-        while reach <= int(size.max(initial=0)):
-            far = np.full(n, -1, np.int64)
-            far[:-reach] = rank[reach:]
-            key = rank * (n + m + 257) + far + 1
-            sa = np.argsort(key, kind="stable")
-            k = key[sa]
-            rank = np.empty(n, np.int64)
-            rank[sa] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            reach *= 2
-            deep[reach] = rank
-            if int(rank[sa[-1]]) == n - 1:
+        # Ranks by the first ``reach`` symbols; a rank is the place of the first suffix of its group.
+        reach = 4 if window >= 4 else 1
+        sa, rank = np.arange(n), np.zeros(n, np.int64)
+        key, open_ = self._packed(raw, inner, reach, m), np.arange(n)
+        deep = {}
+        while True:
+            # Only groups of several suffixes are sorted again, each within its places.
+            order = np.argsort(key)  # equal keys get one rank, so their order is free
+            suffix, key = sa[open_][order], key[order]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            sa[open_], rank[suffix] = suffix, open_[head][np.cumsum(head) - 1]
+            if reach <= window:
+                deep = {reach: rank.copy()}
+            single = head & np.append(head[1:], True)
+            open_ = open_[~single]
+            if not len(open_):
                 break
+            suffix = suffix[~single]
+            far = np.where(suffix + reach < n, rank[np.minimum(suffix + reach, n - 1)], -1)
+            key = rank[suffix] * (n + 1) + far + 1
+            reach *= 2
         # Intervals of suffixes that share their first ``window`` symbols.
-        half = max(r for r in deep if r <= window)
+        half = max(deep)
         shift = np.minimum(np.arange(n) + window - half, n - 1)
         a, b = deep[half][sa], deep[half][shift][sa]
         new = np.ones(n, bool)
@@ -79,6 +86,7 @@ class RunIndex:
         self.first = np.flatnonzero(new)
         text = np.repeat(np.arange(m), size + 1)
         self.least = np.minimum.reduceat(value[text[sa]], self.first)
+        self.interval = np.cumsum(new, dtype=np.int32) - 1
         # The transform as runs; separators are symbols of their own and end every run.
         bwt = symbol[sa - 1]
         head = np.ones(n, bool)
@@ -94,6 +102,20 @@ class RunIndex:
         self.samples = sa[self.run], sa[np.append(self.run[1:], n) - 1]
         self.n = n
 
+    @staticmethod
+    def _packed(raw: np.ndarray, inner: np.ndarray, reach: int, m: int) -> np.ndarray:
+        """A number for the first ``reach`` symbols of each suffix, up to the end of its text; ends are told apart by the text."""
+        n = len(inner)
+        code = np.zeros(n + reach, np.int64)
+        code[:n][inner] = raw.astype(np.int64) + 1
+        key, within = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(reach):
+            here = code[k : k + n]
+            key = key * 257 + np.where(within, here, 0)
+            within &= here > 0
+        text = np.cumsum(~inner) - ~inner
+        return key * (m + 1) + np.where(within, 0, text + 1)
+
     def lf(self, row: np.ndarray) -> np.ndarray:
         """Row of the suffix that is one symbol longer."""
         r = np.searchsorted(self.run, row, "right") - 1
@@ -117,19 +139,16 @@ class RunIndex:
         Only offsets whose matching length reaches the window are given.
         """
         size = self.end - self.start
-        live = np.argsort(-size, kind="stable")
-        row = live.copy()  # the row of a text's end symbol is the number of the text
-        step = 0
-        while len(live):
-            step += 1
-            keep = size[live] >= step
-            live, row = live[keep], row[keep]
-            if not len(live):
-                return
-            row = self.lf(row)
+        longest = np.argsort(-size, kind="stable")
+        row = longest.copy()  # the row of a text's end symbol is the number of the text
+        # The steps of all rows, from the runs: row by row they would be searched for once a symbol.
+        step_of = np.arange(self.n) + np.repeat(self.target - self.run, np.diff(np.append(self.run, self.n)))
+        several = np.searchsorted(-size[longest], -np.arange(1, int(size.max(initial=0)) + 1), "right")
+        for step, live in enumerate(several.tolist(), 1):
+            row = step_of[row[:live]]
             if step >= self.window:
-                at = np.searchsorted(self.first, row, "right") - 1
-                yield live, size[live] - step, self.least[at]
+                texts = longest[:live]
+                yield texts, size[texts] - step, self.least[self.interval[row]]
 
 
 def _context_rows(shared, parts: int):
