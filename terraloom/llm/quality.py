@@ -162,19 +162,21 @@ class Model:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    n1, n0 = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    """Slope and offset that calibrate logits; ``y`` has a label of each, or two columns: how many of each are 0 and are 1."""
+    c0, c1 = (y[:, 0], y[:, 1]) if y.ndim > 1 else (1.0 - (y > 0), 1.0 * (y > 0))
+    n0, n1, n = c0.sum(), c1.sum(), c0 + c1
+    target = c1 * ((n1 + 1) / (n1 + 2)) + c0 * (1 / (n0 + 2))
     scale = max(float(np.abs(z).max()), 1e-9)
     w, x = np.array([1.0, 0.0]), np.stack([z / scale, np.ones_like(z)], 1)
 
     def loss(w: np.ndarray) -> float:
         t = x @ w
-        return float((np.logaddexp(0, t) - target * t).sum() + 5e-4 * (w @ w))
+        return float((n * np.logaddexp(0, t) - target * t).sum() + 5e-4 * (w @ w))
 
     for _ in range(50):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - target) + 1e-3 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), g)
+        g = x.T @ (n * p - target) + 1e-3 * w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), g)
         now, size = loss(w), 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2
