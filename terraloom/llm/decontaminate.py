@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         if part is not None:
             out = out.mapInArrow(_broadcast_scan(docs, part, False), _STATE_DDL)
         part = following
-    return out.mapInArrow(_broadcast_scan(docs, part, True), _OUT_DDL)
+    return out.mapInArrow(T.lean(_broadcast_scan(docs, part, True)), _OUT_DDL)
 
 
 def _broadcast_scan(docs: DataFrame, part: list[tuple[str, str]], last: bool):

@@ -26,6 +26,8 @@ from . import text as T
 from .runtime import partitions, ship_by_value, written
 
 BLOCK = 8192
+#: Bytes of text whose equal blocks are sent once.
+HELD = 8 * T.CHUNK
 
 _REF = pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("idx", pa.int32()), ("sha", pa.binary())])
 _BLOCKS = pa.schema([("block", pa.binary()), ("refs", pa.list_(_REF))])
@@ -45,21 +47,31 @@ def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(space, np.uint8(0x20), raw)[~drop], kept[off]
 
 
+def _sent(found: dict[bytes, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(_REF))], schema=_BLOCKS)
+
+
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rid = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for i, j, raw, off in T.rows(batch.column(1), 8 * T.CHUNK):
+        found: dict[bytes, list] = {}
+        held = 0
+        for i, j, raw, off in T.rows(batch.column(1)):
             raw, off = normalised(raw, off)
             data, at = raw.tobytes(), off.tolist()
-            found: dict[bytes, list] = {}
             for d in range(j - i):
                 body = data[at[d] : at[d + 1]]
                 sha, n = hashlib.sha256(body).digest(), max(1, -(-len(body) // BLOCK))
                 for k in range(n):
                     found.setdefault(body[k * BLOCK : (k + 1) * BLOCK], []).append({"rid": rid, "doc_id": ids[i + d], "n": n, "idx": k, "sha": None if k else sha})
                 rid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(_REF))], schema=_BLOCKS)
+            held += len(data)
+            if held >= HELD:
+                yield _sent(found)
+                found, held = {}, 0
+        if found:
+            yield _sent(found)
 
 
 def _name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +98,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     ship_by_value()
     n = partitions(docs.sparkSession)
-    blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_to_blocks, f"block binary, refs array<struct<{_REF_DDL.replace(' ', ':').replace(',:', ',')}>>")
-    named = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_name_blocks, f"{_REF_DDL}, name long")
+    blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(T.lean(_to_blocks), f"block binary, refs array<struct<{_REF_DDL.replace(' ', ':').replace(',:', ',')}>>")
+    named = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(T.lean(_name_blocks), f"{_REF_DDL}, name long")
     names = written(named, "block-names")
     most = names.agg(F.max("n")).first()[0] or 1
     heads = names.where("idx = 0").select("rid", "doc_id", "n", "sha")

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .runtime import partitions, ship_by_value, written
+from .runtime import dealt as dealt_table
+from .runtime import partitions, released, ship_by_value, swept, written
 from .signature_tree import BitmapTree, SignatureTree, bitmap, width_of
 
 SHINGLE, PERCENT = 5, 75
@@ -336,7 +337,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(rows.mapInArrow(_profile, _DOCS_DDL), "shingle-profile")
+    profile = written(rows.mapInArrow(T.lean(_profile), _DOCS_DDL), "shingle-profile")
     documents = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "cls", *(f"k{i}" for i in range(KEYS)), "bits")
     frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}").orderBy(F.desc("n"), "a").limit(FREQUENT_MOST)
     classes = written(documents.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(KEYS)), F.max("bits").alias("bits")), "classes")
@@ -354,8 +355,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(cls, tokens) of the wanted classes, from one document of each."""
         ids = written(wanted.join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct(), "wanted")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        return rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_rows, "cls long, tokens binary")
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return rows.join(few, "doc_id", "left_semi").select("text").mapInArrow(T.lean(_set_rows), "cls long, tokens binary")
 
     def dealt(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, "cls")
@@ -363,35 +364,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def linked(blocks: DataFrame, name: str) -> DataFrame:
         """Links (a, b) inside the blocks (key, salt, cls), by a signature tree each."""
         in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "comp", "tokens")
-        return written(dealt(in_blocks, "key", "salt").mapInArrow(_tree_links, "a long, b long").distinct(), name)
+        return written(dealt(in_blocks, "key", "salt").mapInArrow(T.lean(_tree_links), "a long, b long").distinct(), name)
 
     def state_of(joined: DataFrame) -> DataFrame:
         return classes.select("cls", "n").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"))
 
     links = linked(blocks.withColumn("comp", F.col("cls")), "tree-links")
+    released(blocks)
     joined = components(links)
 
     # Completion: prefix postings of all classes against each other.
     hot = np.sort(frequent.select("a").toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))
     shared_hot = spark.sparkContext.broadcast(hot.tobytes())
-    packed = rows.select("text").mapInArrow(_postings(shared_hot, 8 * parts), "part int, tokens binary, classes binary")
-    shared = written(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "token long, cls long"), "shared-tokens")
+    packed = rows.select("text").mapInArrow(T.lean(_postings(shared_hot, 8 * parts)), "part int, tokens binary, classes binary")
+    # Dealt by class once, so that what is told of a class comes to its tokens where they lie.
+    shared = dealt_table(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(T.lean(_shared), "token long, cls long"), "cls", "shared-tokens")
+    shared_hot.unpersist()
+    swept(spark)
     by_token = lambda df: df.repartition(parts, "token").sortWithinPartitions("token")
 
     # Around the class of a token whose prefix is shared most, the original of its copies, one more round of blocks.
     scored = state_of(joined).join(shared.groupBy("cls").agg(F.count("*").alias("deg")), "cls").select("cls", "comp", (F.col("deg") / F.greatest(F.col("n"), F.lit(1))).alias("score"))
-    centres = by_token(shared.join(scored, "cls").select("token", "cls", "comp", "score")).mapInArrow(_centres, "centre long, cls long, c long")
+    centres = by_token(shared.join(scored, "cls").select("token", "cls", "comp", "score")).mapInArrow(T.lean(_centres), "centre long, cls long, c long")
     centres = centres.groupBy("centre", "cls").agg(F.sum("c").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "centre")).alias("best")).select("cls", F.col("best.centre").alias("key"), F.col("best.c").alias("c"))
     centres = centres.join(classes.select("cls", "n"), "cls").where(F.col("c") * 10 >= F.ceil(F.col("n") / 4)).select("key", "cls")
     centres = written(centres, "centres")
     around = centres.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("s"))
     members = centres.join(around, "key").select("key", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int").alias("salt"), "cls")
     heads = around.select("key", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("key").alias("cls"))
-    more = linked(written(members.unionByName(heads).distinct().withColumn("comp", F.col("cls")), "centre-blocks"), "centre-links")
+    around_centres = written(members.unionByName(heads).distinct().withColumn("comp", F.col("cls")), "centre-blocks")
+    more = linked(around_centres, "centre-links")
     state = written(state_of(components(links.unionByName(more))).select("cls", "comp"), "class-state")
+    released(joined, centres, around_centres, links, more)
 
-    # Tokens with the same classes are one list: its name is a sum over its classes.
-    owned = shared.join(state, "cls").select("token", "cls", "comp")
+    # Tokens with the same classes are one list: its name is a sum over its classes.  They are dealt by token once, for both sides of the join.
+    owned = shared.join(state, "cls").select("token", "cls", "comp").repartition(parts, "token")
     name = [F.sum(F.xxhash64(F.lit(k), "cls").bitwiseAND((1 << 47) - 1)).alias(f"h{k}") for k in (1, 2)]
     lists = owned.groupBy("token").agg(*name, F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("cls").alias("first")).where("least <> most")
     lists = lists.select("token", "m", "first", F.xxhash64("h1", "h2", "m").alias("list"))
@@ -403,17 +410,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = members.select("deal", "list", "cls", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
     members = members.select("deal", "list", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls", "comp").join(classes.select("cls", "n", "bits"), "cls")
     members = members.select("deal", "list", "lo", "hi", "side", "cls", "comp", "n", "bits").repartition(parts, "deal", "lo", "hi").sortWithinPartitions("list", "lo", "hi")
-    clusters = components(members.mapInArrow(_list_edges, "a long, b long"))
+    clusters = components(members.mapInArrow(T.lean(_list_edges), "a long, b long"))
+    released(shared)
     # Of a cluster every two sides of about BLOCK_SETS classes meet in a block, where whole sets decide.
     s = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
     sides = clusters.groupBy("component").agg(F.count("*").alias("m")).select("component", s.alias("s"))
     near = clusters.withColumnRenamed("node", "cls").join(sides, "component").select("component", "cls", "s", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int").alias("side"))
     near = near.select("component", "cls", "s", "side", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other")).where("s = 1 OR side <> other")
     near = near.select(F.col("component").alias("key"), (F.least("side", "other") * F.col("s").cast("long") + F.greatest("side", "other")).alias("salt"), "cls")
-    more = linked(written(near.join(state.select("cls", "comp"), "cls").select("key", "salt", "cls", "comp"), "near-blocks"), "near-links")
+    near = written(near.join(state.select("cls", "comp"), "cls").select("key", "salt", "cls", "comp"), "near-blocks")
+    more = linked(near, "near-links")
+    released(clusters, near)
     comp = state.select("cls", "comp")
     between = more.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b")
     merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    released(more)
     final = comp.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
 
     # Ids: the smallest of a class, of a component, then back to the documents.

@@ -209,7 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     ship_by_value()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(rows.mapInArrow(_feature_rows, "doc_id long, x array<float>").withColumn("held_out", held_out()), "quality-features")
+    table = written(rows.mapInArrow(T.lean(_feature_rows), "doc_id long, x array<float>").withColumn("held_out", held_out()), "quality-features")
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     usable = table.where(~F.col("held_out"))
     labelled = usable.join(known, "doc_id")
@@ -231,4 +231,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             score = np.full(len(x), 0.5) if model is None else model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return table.select("doc_id", "x", "held_out").mapInArrow(kernel, "doc_id long, held_out boolean, score double, predicted int")
+    return table.select("doc_id", "x", "held_out").mapInArrow(T.lean(kernel), "doc_id long, held_out boolean, score double, predicted int")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +94,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel``, and what its last variables held is given back as well when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return run
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding about ``size`` bytes each."""
     i, n = 0, len(offsets) - 1
