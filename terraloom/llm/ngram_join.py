@@ -125,11 +125,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (places, text): (key, salt, cls, comp, tokens) for each of the places (key, salt, cls, comp) that names the class of the text."""
     for batch in batches:
-        for _, _, raw, off in T.rows(batch.column(0)):
+        for i, j, raw, off in T.rows(batch.column(1)):
             tokens, soff = shingle_sets(raw, off)
-            body = pa.Array.from_buffers(pa.binary(), len(soff) - 1, [None, pa.py_buffer((soff * 8).astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(classes_of(tokens, soff).view(np.int64)), body], names=["cls", "tokens"])
+            own, places = classes_of(tokens, soff).view(np.int64), batch.column(0).slice(i, j - i)
+            doc = np.repeat(np.arange(j - i), places.value_lengths().to_numpy())
+            key, salt, cls, comp = (x.to_numpy() for x in places.flatten().flatten())
+            here = np.flatnonzero(cls == own[doc])  # an id that is repeated can have other texts
+            ends = np.concatenate([[0], np.cumsum(np.diff(soff)[doc[here]])])
+            for x, y in T.chunks(ends, HELD):
+                at = here[x:y]
+                held = np.concatenate([tokens[soff[d] : soff[d + 1]] for d in doc[at].tolist()])
+                body = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(((ends[x : y + 1] - ends[x]) * 8).astype(np.int32).tobytes()), pa.py_buffer(held.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(pa.array(z[at]) for z in (key, salt, cls, comp)), body], names=["key", "salt", "cls", "comp", "tokens"])
 
 
 def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,19 +361,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leaders = sizes.where(f"m > {BLOCK_SETS}").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("leader").alias("cls"))
     blocks = written(members.unionByName(leaders).distinct(), "blocks")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(cls, tokens) of the wanted classes, from one document of each."""
-        ids = written(wanted.join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct(), "wanted")
-        few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        return rows.join(few, "doc_id", "left_semi").select("text").mapInArrow(T.lean(_set_rows), "cls long, tokens binary")
-
     def dealt(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(parts, *keys).sortWithinPartitions(*keys, "cls")
 
     def linked(blocks: DataFrame, name: str) -> DataFrame:
-        """Links (a, b) inside the blocks (key, salt, cls), by a signature tree each."""
-        in_blocks = blocks.join(sets_of(blocks.select("cls").distinct()), "cls").select("key", "salt", "cls", "comp", "tokens")
-        return written(dealt(in_blocks, "key", "salt").mapInArrow(T.lean(_tree_links), "a long, b long").distinct(), name)
+        """Links (a, b) inside the blocks (key, salt, cls, comp), by a signature tree each.
+
+        A set is made from one document of its class and goes to its blocks from there: the places come
+        to the texts, up to ``BROADCAST_ROWS`` (counted singly) by broadcast, so that no set is dealt by class before.
+        """
+        place = F.struct("key", F.col("salt").cast("long").alias("salt"), "cls", "comp")
+        ids = written(blocks.join(classes.select("cls", "doc_id"), "cls").groupBy("doc_id").agg(F.collect_list(place).alias("places")), "wanted")
+        many = ids.agg(F.sum(F.size("places"))).first()[0] or 0
+        few = F.broadcast(ids) if many <= BROADCAST_ROWS else ids
+        in_blocks = rows.join(few, "doc_id").select("places", "text").mapInArrow(T.lean(_set_rows), "key long, salt long, cls long, comp long, tokens binary")
+        links = written(dealt(in_blocks, "key", "salt").mapInArrow(T.lean(_tree_links), "a long, b long").distinct(), name)
+        released(ids)
+        return links
 
     def state_of(joined: DataFrame) -> DataFrame:
         return classes.select("cls", "n").join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"))

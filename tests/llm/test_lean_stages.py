@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -66,3 +67,22 @@ def test_ngram_tables_that_are_done_are_dropped(spark):
     assert not left & {"blocks", "tree-links", "shared-tokens", "centres", "centre-blocks", "centre-links", "near-blocks", "near-links"}
     assert spark.catalog.listTables() == tables
     assert {r.doc_id: r.component_id for r in out.collect()} == {**dict.fromkeys(range(12), 0), 90: 90}
+
+
+def test_sets_go_to_their_blocks_from_the_texts(monkeypatch):
+    """Each place that names the class of its text gets the set at once, in parts of bounded size; other places get none."""
+    monkeypatch.setattr(ngram_join, "HELD", 40)
+    texts = ["a b c d e f g", "", "h i j k l m n o", "too few"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tokens, soff = ngram_join.shingle_sets(raw, off)
+    cls = ngram_join.classes_of(tokens, soff).view(np.int64).tolist()
+    places = [[(k, k % 3, c, 7) for k in range(20)] + [(99, 0, c + 1, 7)] for c in cls]
+    places[1] = []
+    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("key", "salt", "cls", "comp")]))
+    column = pa.array([[dict(zip(("key", "salt", "cls", "comp"), p, strict=True)) for p in ps] for ps in places], kind)
+    batch = pa.RecordBatch.from_arrays([column, pa.array(texts)], names=["places", "text"])
+    out = list(ngram_join._set_rows(iter([batch.slice(1), batch.slice(0, 1)])))
+    assert max(sum(map(len, b.column(4).to_pylist())) for b in out) <= 8 * 40
+    got = sorted((r["key"], r["salt"], r["cls"], r["comp"], r["tokens"]) for b in out for r in b.to_pylist())
+    assert got == sorted((*p, tokens[soff[d] : soff[d + 1]].tobytes()) for d, ps in enumerate(places) for p in ps if p[2] == cls[d])
